@@ -82,7 +82,6 @@ def _llr(a: str, b: str, m: str, n: str) -> str:
 
 def line_excess(lines: DataFrame, min_rows: int = 10, q: float = 0.01) -> DataFrame:
     """source, key, n_in, rows_in, n_out, rows_out, llr, excess for every line in at least min_rows documents of its source."""
-    spark = lines.sparkSession
     rows = lines.groupBy("source").agg(F.count("*").cast("double").alias("rows_in"))
     total = float(rows.agg(F.sum("rows_in")).first()[0] or 0)
     counted = lines.select("source", F.explode(F.array_distinct("keys")).alias("key")).groupBy("source", "key").agg(F.count("*").cast("double").alias("n_in"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.functions import codepoints as cp
-from lavra.functions.arrow import SMALL_PIECE, lists, release
+from lavra.functions.arrow import SMALL_PIECE, release
 from lavra.llm.shingles import shingle_hashes, word_hashes
 from lavra.session import materialize
 
