@@ -1,0 +1,67 @@
+"""Parent pointers: order-derived parents without a global sort in one task, and pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lavra.session import materialize
+
+
+def previous_rows(df: DataFrame, group: str, order: list[str], carry: list[str]) -> DataFrame:
+    """df with prev_<c> for each c of carry: the value in the row before, by `order`, within `group`; null in a group's first row.
+
+    Rows are range-partitioned by group and order, so a group of any size spreads over partitions. Within a partition a
+    window looks back; the last row of each partition, one row each, gives the partition after it its start. `order` must be
+    total within a group; nulls come first.
+    """
+    keys = [group, *order]
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    ordered = materialize(ordered, "ordered").withColumn("__part", F.shiftright("__at", 33))
+    here = Window.partitionBy("__part").orderBy("__at")
+    row = F.struct(F.col(group), *[F.col(c) for c in carry])
+    seen = ordered.withColumn("__row", row).withColumn("__before", F.lag("__row").over(here)).withColumn("__first", F.row_number().over(here) == 1)
+    last = ordered.groupBy("__part").agg(F.max_by(row, "__at").alias("__last"))
+    last = last.select(F.lead("__part").over(Window.orderBy("__part")).alias("__part"), "__last")
+    joined = seen.join(F.broadcast(last), "__part", "left")
+    before = F.when(F.col("__first"), F.col("__last")).otherwise(F.col("__before"))
+    same = before.getField(group).eqNullSafe(F.col(group)) & before.isNotNull()
+    return joined.withColumns({f"prev_{c}": F.when(same, before.getField(c)) for c in carry}).drop("__at", "__part", "__row", "__before", "__first", "__last")
+
+
+def jump_pointers(nodes: DataFrame) -> DataFrame:
+    """id, root, depth, status for nodes(id, parent, weight): pointer jumping by joins that double the distance each round.
+
+    depth is the sum of weights from the root to the node. status is "ok", "orphan" (a chain that ends at a parent that does
+    not exist; the root is its first existing node) or "cycle" (no root: root and depth are null). Resolved nodes leave the
+    rounds, so a round costs what is still open, and there are about log2(longest chain) of them. Ids must be unique; a null
+    id is dropped.
+    """
+    base = nodes.filter("id is not null").select("id", "parent", F.col("weight").cast("long").alias("weight"))
+    ids = base.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
+    linked = base.join(ids, "parent", "left")
+    start = linked.select(
+        "id",
+        F.when(F.col("there"), F.col("parent")).alias("ptr"),
+        F.when(F.col("there"), F.lit(None)).otherwise(F.col("id")).alias("root"),
+        "weight",
+        (F.col("parent").isNotNull() & F.col("there").isNull()).alias("orphan"),
+    )
+    state = materialize(start, "chains")
+    done = state.filter("ptr is null")
+    open_ = state.filter("ptr is not null")
+    left = open_.count()
+    limit = left
+    rounds = 0
+    while left and (1 << max(0, rounds - 1)) <= limit:
+        target = done.union(open_).selectExpr("id as ptr", "ptr as next", "root as far", "weight as more", "orphan as lost")
+        moved = open_.drop("root", "orphan").join(target, "ptr").select("id", F.col("next").alias("ptr"), F.col("far").alias("root"), (F.col("weight") + F.col("more")).alias("weight"), F.col("lost").alias("orphan"))
+        moved = materialize(moved.withColumn("settled", F.col("ptr").isNull()), "jumped")
+        done = done.union(moved.filter("settled").drop("settled"))
+        open_ = moved.filter("not settled").drop("settled")
+        left = open_.count()
+        rounds += 1
+    out = done.select("id", "root", F.col("weight").alias("depth"), F.when(F.col("orphan"), F.lit("orphan")).otherwise(F.lit("ok")).alias("status"))
+    if left:
+        out = out.union(open_.select("id", F.lit(None).alias("root"), F.lit(None).cast("long").alias("depth"), F.lit("cycle").alias("status")))
+    return out
