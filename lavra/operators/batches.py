@@ -38,7 +38,7 @@ def pad_or_cut(ids: Column, n: int, pad: int = PAD) -> Column:
 
 def char_ids(c: Column) -> Column:
     """Ids of a mock tokenizer: code point modulo 250, plus 4."""
-    return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: (F.ord(x) % 250 + 4).cast("int"))
+    return F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: (F.ascii(x) % 250 + 4).cast("int"))
 
 
 def training_rows(df: DataFrame, ids: Column, length: int) -> DataFrame:

@@ -1,10 +1,863 @@
-"""Queries of the core and their SQL twins, by name."""
+"""Queries of the core and their SQL twins, by name. Every query reads its whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from lavra.functions import text as T
+from lavra.operators import batches, bpe, codescan, corpus, images, intent, markup, memory, numerics, retrieval, rewrite
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+
+class Tables:
+    """The tables of one folder."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
+    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[f.__name__] = lambda spark, folder: f(Tables(spark, folder))
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+STRIP = r"regexp_replace({}, '^[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+|[\s\x{{0B}}\x{{1C}}-\x{{1F}}\x{{85}}\p{{Z}}]+$', '', 'g')"
+LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def strip_sql(x: str) -> str:
+    return STRIP.format(x)
+
+
+def low_sql(x: str) -> str:
+    return LOW.format(x)
+
+
+# --- sources ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"with l as (select doc_id as id, unnest(string_split(text, chr(10))) as l from documents) select id, {strip_sql('l')} as texto from l where {strip_sql('l')} <> ''")
+def read_lines(t: Tables) -> DataFrame:
+    lines = t.documents.select(F.col("doc_id").alias("id"), F.explode(F.split("text", "\n", -1)).alias("l"))
+    return lines.select("id", T.strip_column(F.col("l")).alias("texto")).filter("texto <> ''")
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events")
+def json_fields(t: Tables) -> DataFrame:
+    return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("""select item_id, texto || chr(10) || gabarito as texto from avaliacao where texto is not null and gabarito is not null""")
+def json_pairs(t: Tables) -> DataFrame:
+    from lavra.sources.readers import json_texts
+
+    doc = F.to_json(F.array(F.struct(F.col("texto").alias("pergunta"), F.col("gabarito").alias("resposta"))))
+    return t.avaliacao.select("item_id", F.explode(json_texts(doc)).alias("texto"))
+
+
+@query(
+    r"""with p as (select doc_id as id, regexp_split_to_array(replace(text, chr(13), ''), '\n[ \t]*\n') as b from documents),
+    e as (select id, unnest(range(len(b))) as n, unnest(b) as b from p),
+    j as (select id, n, array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(replace(x, chr(9), ' '))), lambda x: x <> ''), ' ') as paragrafo from e)
+    select id, cast(n as integer) as n, paragrafo from j where length(paragrafo) > 10"""
+)
+def paragraphs(t: Tables) -> DataFrame:
+    return corpus.paragraphs(t.documents, "doc_id", "text")
+
+
+@query(
+    r"""with p as (select doc_id as id, list_filter(list_transform(string_split(replace(text, chr(13), ''), chr(10) || chr(10)), lambda x: trim(x)), lambda x: length(x) > 50)[1:5] as b from documents)
+    select id, cast(unnest(range(len(b))) as integer) as n, unnest(b) as paragrafo from p"""
+)
+def first_paragraphs(t: Tables) -> DataFrame:
+    return corpus.first_paragraphs(t.documents, "doc_id", "text")
+
+
+@query("select doc_id, substr(regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g'), 1, 5000) as texto from documents where length(text) > 100".replace("\\\\", "\\"))
+def article_clip(t: Tables) -> DataFrame:
+    return t.documents.filter(F.length("text") > 100).select("doc_id", F.substring(F.regexp_replace("text", r"\n{3,}", "\n\n"), 1, 5000).alias("texto"))
+
+
+@query()
+def wiki_extract(t: Tables) -> DataFrame:
+    return markup.wiki_paragraphs(t.documents.filter("genero = 'wiki'"), "doc_id", "text")
+
+
+@query("select id, cast((row_number() over (order by id) - 1) // 512 as bigint) as pagina from exemplos where length(texto) >= 10")
+def page_scan(t: Tables) -> DataFrame:
+    return corpus.pages(corpus.min_chars(t.exemplos, 10), 512).select("id", "pagina")
+
+
+@query("select p.pos, e.id, e.texto from (values (0, 77), (1, 3), (2, 1201), (3, 12), (4, 3)) p(pos, id) join exemplos e on e.id = p.id")
+def multi_get_ordered(t: Tables) -> DataFrame:
+    return corpus.multi_get(t.exemplos, [77, 3, 1201, 12, 3])
+
+
+# --- sinks and maintenance -------------------------------------------------------------------------------------------
+
+
+@query(
+    """with n as (select min(id) as id from exemplos where id % 2 = 0 and texto is not null and texto not in (select texto from exemplos where id % 2 = 1 and texto is not null) group by texto)
+    select (select count(*) from n) as adicionados, (select count(*) from exemplos where id % 2 = 0) - (select count(*) from n) as repetidos"""
+)
+def insert_ignore_counts(t: Tables) -> DataFrame:
+    """Both halves of the corpus are read whole: one stands for what exists, the other for what arrives."""
+    old, new = t.exemplos.filter("id % 2 = 1"), t.exemplos.filter("id % 2 = 0")
+    fresh = corpus.insert_ignore(old.filter("texto is not null"), new.filter("texto is not null")).agg(F.count("*").alias("adicionados"))
+    return fresh.crossJoin(F.broadcast(new.agg(F.count("*").alias("n")))).select("adicionados", (F.col("n") - F.col("adicionados")).alias("repetidos"))
+
+
+@query(f"with s as (select id, substr({strip_sql('texto')}, 1, 50000) as texto from exemplos where length({strip_sql('texto')}) >= 5) select min(id) as id, texto from s group by texto")
+def ingest_dedup(t: Tables) -> DataFrame:
+    return corpus.first_of_each(corpus.stripped(t.exemplos.select("id", "texto"), 5, 50_000), F.col("texto"))
+
+
+@query(f"with s as (select id, {strip_sql('texto')} as texto, 'wikipedia:' || coalesce(categoria, 'geral') as fonte from exemplos where length({strip_sql('texto')}) >= 10) select min(id) as id, texto, min_by(fonte, id) as fonte from s group by texto")
+def feeder_dedup(t: Tables) -> DataFrame:
+    rows = t.exemplos.select("id", "texto", F.concat(F.lit("wikipedia:"), F.coalesce("categoria", F.lit("geral"))).alias("fonte"))
+    return corpus.first_of_each(corpus.stripped(rows, 10), F.col("texto"))
+
+
+@query("select distinct dominio as topico from fontes_ref where dominio is not null and not exists (select 1 from exemplos where fonte = 'wikipedia:' || dominio)")
+def pending_topics(t: Tables) -> DataFrame:
+    return corpus.pending_topics(t.fontes_ref.select(F.col("dominio").alias("topico")).filter("topico is not null").distinct(), t.exemplos)
+
+
+@query(f"select lower({strip_sql('fonte')}) as chave, min_by(fonte, id) as valor, min(id) as primeiro from exemplos where fonte is not null group by 1")
+def ordered_unique(t: Tables) -> DataFrame:
+    return corpus.ordered_unique(t.exemplos, "fonte", "id")
+
+
+@query("select texto, fonte, categoria from exemplos where categoria = 'ciencia'")
+def export_projection(t: Tables) -> DataFrame:
+    return corpus.export_projection(t.exemplos, "ciencia")
+
+
+@query(f"select count(*) as restam from exemplos where not coalesce({low_sql('fonte')} like '%wiki%', false)")
+def delete_by_source(t: Tables) -> DataFrame:
+    return corpus.without_source_like(t.exemplos, "wiki").agg(F.count("*").alias("restam"))
+
+
+@query("select id, categoria from exemplos where categoria is distinct from 'saude'")
+def delete_by_category(t: Tables) -> DataFrame:
+    return corpus.without(t.exemplos, "categoria", "saude").select("id", "categoria")
+
+
+@query("select case when categoria = 'esporte' then 1 else usado_treino end as usado, count(*) as n from exemplos group by 1")
+def mark_trained(t: Tables) -> DataFrame:
+    return corpus.mark_used(t.exemplos, category="esporte").groupBy(F.col("usado_treino").alias("usado")).agg(F.count("*").alias("n"))
+
+
+@query("select case when id in (select id from contexto_codigo) then 1 else usado_treino end as usado, count(*) as n from exemplos group by 1")
+def mark_trained_ids(t: Tables) -> DataFrame:
+    return corpus.mark_used(t.exemplos, ids=t.contexto_codigo).groupBy(F.col("usado_treino").alias("usado")).agg(F.count("*").alias("n"))
+
+
+# --- filters and previews --------------------------------------------------------------------------------------------
+
+
+@query("select id from exemplos where categoria = 'cultura' and usado_treino = 0")
+def filter_cat_untrained(t: Tables) -> DataFrame:
+    return corpus.pending_in_category(t.exemplos, "cultura").select("id")
+
+
+@query("select id from exemplos where length(texto) >= 10")
+def min_chars(t: Tables) -> DataFrame:
+    return corpus.min_chars(t.exemplos, 10).select("id")
+
+
+@query("select count(*) as n from exemplos where length(texto) >= 10 and categoria = 'geral'")
+def filtered_count(t: Tables) -> DataFrame:
+    return corpus.min_chars(t.exemplos, 10).filter("categoria = 'geral'").agg(F.count("*").alias("n"))
+
+
+@query(f"select id, texto from exemplos where {low_sql('texto')} like '%protocolo%' order by id desc limit 200")
+def search_docs(t: Tables) -> DataFrame:
+    return corpus.search(t.exemplos, "texto", "Protocolo", 200).select("id", "texto")
+
+
+@query(f"""select id, conteudo from historico where {low_sql('conteudo')} like '%memória%' order by "timestamp" desc nulls last, id desc limit 20""")
+def search_messages(t: Tables) -> DataFrame:
+    return corpus.search(t.historico, "conteudo", "memória", 20, "timestamp").select("id", "conteudo")
+
+
+@query("select id, case when length(texto) > 150 then substr(texto, 1, 150) || '…' else texto end as previa, fonte, categoria from exemplos order by id desc limit 50")
+def recent_preview(t: Tables) -> DataFrame:
+    return corpus.recent_preview(t.exemplos)
+
+
+@query(
+    r"""select id, case when length(texto) > 45 then substr(regexp_replace(texto, '[\r\n]', ' ', 'g'), 1, 45) || '...' else regexp_replace(texto, '[\r\n]', ' ', 'g') end as previa,
+    substr(list_last(string_split(coalesce(fonte, ''), '/')), 1, 23) as origem from exemplos order by id desc limit 20"""
+)
+def list_preview(t: Tables) -> DataFrame:
+    return corpus.list_preview(t.exemplos)
+
+
+@query("select count(*) as n from contexto_codigo where hash_conteudo in (select substr(md5(conteudo), 1, 12) from contexto_codigo where conteudo is not null)")
+def already_analysed(t: Tables) -> DataFrame:
+    known = t.contexto_codigo.filter("conteudo is not null").select(F.substring(F.md5("conteudo"), 1, 12).alias("hash_conteudo")).distinct()
+    return t.contexto_codigo.join(known, "hash_conteudo", "left_semi").agg(F.count("*").alias("n"))
+
+
+@query("select sessao_id, tipo, count(*) as n, max(id) as ultimo from contexto_codigo where sessao_id is not null group by sessao_id, tipo")
+def contexts_by_type(t: Tables) -> DataFrame:
+    return t.contexto_codigo.filter("sessao_id is not null").groupBy("sessao_id", "tipo").agg(F.count("*").alias("n"), F.max("id").alias("ultimo"))
+
+
+@query("""select nome_arquivo, id, row_number() over (partition by nome_arquivo order by "timestamp" desc nulls last, id desc) as versao from contexto_codigo where nome_arquivo is not null""")
+def file_history(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("nome_arquivo").orderBy(F.col("timestamp").desc_nulls_last(), F.col("id").desc())
+    return t.contexto_codigo.filter("nome_arquivo is not null").select("nome_arquivo", "id", F.row_number().over(w).cast("long").alias("versao"))
+
+
+@query(
+    r"""select doc_id from documents where length(text) >= 80 and not starts_with(text, '|') and not starts_with(text, '!')
+    and length(regexp_replace(text, '[^\p{L}]', '', 'g')) / length(text) > 0.6"""
+)
+def paragraph_quality(t: Tables) -> DataFrame:
+    return t.documents.filter(corpus.good_paragraph(F.col("text"))).select("doc_id")
+
+
+# --- aggregates ------------------------------------------------------------------------------------------------------
+
+
+@query("select count(*) as total, count(*) filter (where coalesce(usado_treino, 0) = 1) as treinados, count(*) filter (where coalesce(usado_treino, 0) <> 1) as pendentes from exemplos")
+def status_totals(t: Tables) -> DataFrame:
+    return corpus.status_totals(t.exemplos)
+
+
+@query("select categoria, count(*) as n from exemplos group by categoria")
+def count_by_category(t: Tables) -> DataFrame:
+    return corpus.count_by(t.exemplos, "categoria")
+
+
+@query("select fonte, count(*) as n from exemplos group by fonte order by n desc, fonte nulls first limit 10")
+def top_sources(t: Tables) -> DataFrame:
+    return corpus.top_groups(t.exemplos, "fonte", 10)
+
+
+@query("select sessao_id, cast(coalesce(sum(tokens_aprox), 0) as bigint) as tokens from historico group by sessao_id")
+def session_tokens(t: Tables) -> DataFrame:
+    return memory.session_tokens(t.historico)
+
+
+@query("select sessao_id, count(*) as n from historico where sessao_id is not null group by sessao_id")
+def session_counts(t: Tables) -> DataFrame:
+    return corpus.count_by(t.historico.filter("sessao_id is not null"), "sessao_id")
+
+
+@query("select s.sessao_id, s.total_mensagens, m.primeira from sessoes s left join (select sessao_id, min_by(conteudo, id) as primeira from historico group by sessao_id) m using (sessao_id)")
+def list_sessions(t: Tables) -> DataFrame:
+    return memory.list_sessions(t.sessoes, t.historico).select("sessao_id", "total_mensagens", "primeira")
+
+
+@query("select linguagem, count(*) as n from contexto_codigo where coalesce(linguagem, '') <> '' group by linguagem")
+def languages_used(t: Tables) -> DataFrame:
+    return memory.languages_used(t.contexto_codigo)
+
+
+@query("select linguagem, count(*) as n from contexto_codigo where coalesce(linguagem, '') <> '' group by linguagem order by n desc, linguagem limit 1")
+def favourite_language(t: Tables) -> DataFrame:
+    return memory.favourite_language(t.contexto_codigo)
+
+
+@query(
+    f"""select sessao_id, count(*) as mensagens, count(*) filter (where lower({strip_sql('papel')}) = 'usuario') as do_usuario, count(*) filter (where lower({strip_sql('papel')}) = 'ia') as da_ia,
+    cast(coalesce(sum(tokens_aprox), 0) as bigint) as tokens, epoch_us(min("timestamp")) as primeira, epoch_us(max("timestamp")) as ultima from historico group by sessao_id"""
+)
+def memory_stats(t: Tables) -> DataFrame:
+    return memory.memory_statistics(t.historico).withColumns({c: F.unix_micros(c) for c in ("primeira", "ultima")})
+
+
+WORDS_SQL = r"select unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as palavra from documents"
+
+
+@query(f"with w as ({WORDS_SQL}) select palavra, count(*) as n from w group by palavra having count(*) >= 2")
+def word_count(t: Tables) -> DataFrame:
+    return bpe.word_counts(t.documents, "text", 2)
+
+
+PAIRS_SQL = f"""with w as ({WORDS_SQL}), c as (select palavra, count(*) as n from w group by palavra),
+    s as (select n, list_append(list_filter(string_split(palavra, ''), lambda x: x <> ''), '</w>') as s from c),
+    p as (select n, unnest(s[1:len(s) - 1]) as a, unnest(s[2:len(s)]) as b from s)
+    select a, b, cast(sum(n) as bigint) as n from p group by a, b"""
+
+
+@query(PAIRS_SQL)
+def bpe_pair_counts(t: Tables) -> DataFrame:
+    return bpe.pair_counts(bpe.word_counts(t.documents, "text"))
+
+
+@query(f"select * from ({PAIRS_SQL}) order by n desc, a desc, b desc limit 1")
+def bpe_best_pair(t: Tables) -> DataFrame:
+    return bpe.best_pair(bpe.pair_counts(bpe.word_counts(t.documents, "text")))
+
+
+@query(
+    f"""with w as ({WORDS_SQL}), c as (select palavra, count(*) as n from w group by palavra),
+    s as (select n, unnest(list_append(list_filter(string_split(palavra, ''), lambda x: x <> ''), '</w>')) as token from c)
+    select token, cast(sum(n) as bigint) as n from s group by token"""
+)
+def bpe_symbol_freq(t: Tables) -> DataFrame:
+    return bpe.token_frequency(bpe.word_counts(t.documents, "text").select("n", bpe.symbols(F.col("palavra")).alias("tokens")))
+
+
+MERGES = [("o", "</w>"), ("a", "</w>"), ("e", "</w>"), ("r", "a"), ("d", "e</w>"), ("q", "u"), ("e", "n"), ("s", "</w>"), ("a", "s</w>"), ("ra", "r")]
+
+
+@query()
+def encode_docs(t: Tables) -> DataFrame:
+    return bpe.token_frequency(bpe.encode_words(bpe.word_counts(t.documents, "text"), MERGES))
+
+
+@query(f"with w as ({WORDS_SQL}) select palavra as token, count(*) as n from w group by palavra order by n desc, palavra limit 30")
+def top_tokens(t: Tables) -> DataFrame:
+    return bpe.word_counts(t.documents, "text").select(F.col("palavra").alias("token"), "n").orderBy(F.col("n").desc(), "token").limit(30)
+
+
+@query(
+    f"""with w as ({WORDS_SQL}), v as (select palavra as token, 3 + row_number() over (order by count(*) desc, palavra) as token_id from w group by palavra order by count(*) desc, palavra limit 500)
+    select coalesce(v.token_id, 3) as token_id, count(*) as n from w left join v on w.palavra = v.token group by 1"""
+)
+def encode_lookup(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    top = bpe.word_counts(t.documents, "text").orderBy(F.col("n").desc(), "palavra").limit(500)
+    vocabulary = top.select(F.col("palavra").alias("token"), (F.row_number().over(Window.orderBy(F.col("n").desc(), "palavra")) + 3).cast("long").alias("token_id"))
+    tokens = bpe.words(t.documents, "text").withColumnRenamed("palavra", "token").groupBy("token").agg(F.count("*").alias("k"))
+    coded = bpe.encode_lookup(tokens, F.broadcast(vocabulary))
+    return coded.groupBy("token_id").agg(F.sum("k").alias("n"))
+
+
+@query()
+def roundtrip(t: Tables) -> DataFrame:
+    """Words that encoding and decoding change: none."""
+    coded = bpe.encode_words(bpe.word_counts(t.documents, "text"), MERGES)
+    return coded.groupBy((bpe.decode(F.col("tokens")) == F.col("palavra")).alias("igual")).agg(F.count("*").alias("n"))
+
+
+# --- batches ---------------------------------------------------------------------------------------------------------
+
+
+@query()
+def page_shuffle(t: Tables) -> DataFrame:
+    return batches.page_shuffle(corpus.pages(t.exemplos, 512).select("id", "pagina"), 99, 1)
+
+
+@query()
+def global_shuffle(t: Tables) -> DataFrame:
+    return batches.global_shuffle(t.exemplos.select("id"), 99, 1)
+
+
+@query(
+    """with p as (select id, cast((row_number() over (order by id) - 1) // 60 as bigint) as pagina from exemplos),
+    k as (select id, pagina, (row_number() over (partition by pagina order by id) - 1) // 16 as k from p)
+    select id, pagina, cast(dense_rank() over (order by pagina, k) as bigint) as lote from k"""
+)
+def batch_numbers(t: Tables) -> DataFrame:
+    return batches.batch_numbers(corpus.pages(t.exemplos, 60).select("id", "pagina"), 16).select("id", "pagina", "lote")
+
+
+IDS_SQL = "list_transform(list_filter(string_split(texto, ''), lambda x: x <> ''), lambda x: unicode(x) % 250 + 4)"
+
+
+@query(f"select id, array_to_string(list_resize({IDS_SQL}, 10, 0), ' ') as ids from exemplos where texto is not null")
+def pad_truncate(t: Tables) -> DataFrame:
+    ids = batches.pad_or_cut(batches.char_ids(F.col("texto")), 10)
+    return t.exemplos.filter("texto is not null").select("id", F.array_join(ids.cast("array<string>"), " ").alias("ids"))
+
+
+@query(
+    f"""with w as (select id, list_resize(list_append(list_prepend(1, ({IDS_SQL})[1:31]), 2), 33, 0) as w from exemplos where length(texto) >= 10)
+    select id, array_to_string(w[1:32], ' ') as entrada, array_to_string(w[2:33], ' ') as alvo, len(list_filter(w[1:32], lambda x: x <> 0)) as validos from w"""
+)
+def training_rows(t: Tables) -> DataFrame:
+    rows = batches.training_rows(corpus.min_chars(t.exemplos, 10), batches.char_ids(F.col("texto")), 32)
+    return rows.select(
+        "id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("entrada"), F.array_join(F.col("target_ids").cast("array<string>"), " ").alias("alvo"),
+        F.size(F.filter("attention_mask", lambda x: x)).cast("long").alias("validos"),
+    )
+
+
+@query(
+    """select round(avg(length(texto)), 6) as media, cast(floor(round(quantile_cont(length(texto), 0.5), 6)) as bigint) as mediana, cast(min(length(texto)) as bigint) as minimo,
+    cast(max(length(texto)) as bigint) as maximo, cast(floor(round(quantile_cont(length(texto), 0.75), 6)) as bigint) as p75, cast(floor(round(quantile_cont(length(texto), 0.9), 6)) as bigint) as p90,
+    cast(floor(round(quantile_cont(length(texto), 0.95), 6)) as bigint) as p95, cast(floor(round(quantile_cont(length(texto), 0.99), 6)) as bigint) as p99 from exemplos where texto is not null"""
+)
+def length_stats(t: Tables) -> DataFrame:
+    return batches.length_statistics(t.exemplos.filter("texto is not null").select(F.length("texto").alias("n")), "n")
+
+
+@query(
+    """with l as (select length(texto) as n from exemplos where texto is not null), m as (select max(n) as top from l)
+    select cast(least(n // 16, greatest(0, (top - 1) // 16)) as bigint) as faixa, count(*) as n from l, m group by 1"""
+)
+def length_histogram(t: Tables) -> DataFrame:
+    return batches.length_histogram(t.exemplos.filter("texto is not null").select(F.length("texto").alias("n")), "n")
+
+
+# --- memory ----------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """with k as (select sessao_id, id, row_number() over (partition by sessao_id order by "timestamp" desc nulls last, id desc) as k from historico where sessao_id is not null)
+    select sessao_id, id, row_number() over (partition by sessao_id order by k desc) as posicao from k where k <= 6"""
+)
+def recent_messages(t: Tables) -> DataFrame:
+    return memory.recent_messages(t.historico.filter("sessao_id is not null"), 6).select("sessao_id", "id", "posicao")
+
+
+@query(
+    """with k as (select sessao_id, id, cast(sum(greatest(coalesce(tokens_aprox, 0), 1)) over (partition by sessao_id order by "timestamp" desc nulls last, id desc rows unbounded preceding) as bigint) as acumulado
+    from historico where sessao_id is not null) select sessao_id, id, acumulado from k where acumulado <= 0.7 * 2048"""
+)
+def context_window(t: Tables) -> DataFrame:
+    return memory.context_window(t.historico.filter("sessao_id is not null"), 0.7 * 2048).select("sessao_id", "id", "acumulado")
+
+
+@query()
+def context_files(t: Tables) -> DataFrame:
+    return memory.code_context(t.contexto_codigo.filter("sessao_id is not null"))
+
+
+@query("""select chave, max_by(valor, atualizado_em) as valor from (select chave, valor, atualizado_em from preferencias union all select chave, 'novo', atualizado_em + interval 1 day from preferencias where tipo_valor = 'str') group by chave""")
+def prefs_upsert(t: Tables) -> DataFrame:
+    p = t.preferencias
+    changes = p.filter("tipo_valor = 'str'").withColumns({"valor": F.lit("novo"), "atualizado_em": F.expr("atualizado_em + interval 1 day")})
+    return memory.upsert_preferences(p, changes).select("chave", "valor")
+
+
+@query("""select chave, valor from preferencias union all select * from (values ('estilo_resposta', 'tecnico'), ('max_historico', '50')) d(chave, valor) where chave not in (select chave from preferencias)""")
+def prefs_defaults(t: Tables) -> DataFrame:
+    defaults = t.spark.createDataFrame([("estilo_resposta", "tecnico", "str", None), ("max_historico", "50", "int", None)], "chave string, valor string, tipo_valor string, atualizado_em timestamp")
+    return memory.with_default_preferences(t.preferencias, defaults).select("chave", "valor")
+
+
+@query(
+    r"""select chave, coalesce(lower(tipo_valor), 'str') as tipo,
+    case when lower(tipo_valor) = 'int' and regexp_matches(valor, '^\s*[+-]?\d+\s*$') then try_cast(trim(valor) as bigint) end as v_int,
+    case when lower(tipo_valor) = 'float' and regexp_matches(valor, '^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$') then try_cast(trim(valor) as double) end as v_float,
+    cast(case when lower(tipo_valor) = 'bool' then lower(valor) in ('true', '1', 'sim', 'yes') end as integer) as v_bool,
+    case when coalesce(lower(tipo_valor), 'str') not in ('int', 'float', 'bool', 'json') then valor end as v_str,
+    case when lower(tipo_valor) = 'json' and json_valid(valor) then valor end as v_json from preferencias"""
+)
+def prefs_typed(t: Tables) -> DataFrame:
+    return memory.typed_preferences(t.preferencias).withColumn("v_bool", F.col("v_bool").cast("int"))
+
+
+@query(
+    """select id, '[' || coalesce(strftime("timestamp" at time zone 'UTC', '%H:%M'), '') || '] ' || coalesce(papel, '') || ': ' ||
+    case when length(coalesce(conteudo, '')) > 80 then substr(conteudo, 1, 80) || '...' else coalesce(conteudo, '') end as resumo from historico"""
+)
+def message_summary(t: Tables) -> DataFrame:
+    return memory.message_summary(t.historico)
+
+
+@query("""select id, greatest(1, length(conteudo) // 4) as tokens from historico where conteudo is not null""")
+def token_estimate(t: Tables) -> DataFrame:
+    return t.historico.filter("conteudo is not null").select("id", T.token_estimate(F.col("conteudo")).alias("tokens"))
+
+
+@query("select id, substr(md5(conteudo), 1, 12) as hash from contexto_codigo where conteudo is not null")
+def content_hash(t: Tables) -> DataFrame:
+    return t.contexto_codigo.filter("conteudo is not null").select("id", F.substring(F.md5("conteudo"), 1, 12).alias("hash"))
+
+
+@query("""select event_id, 'sess_' || strftime(ts, '%Y%m%d_%H%M%S') || '_' || substr(md5(cast(event_id as varchar)), 1, 6) as sessao from events""")
+def session_id(t: Tables) -> DataFrame:
+    made = F.concat(F.lit("sess_"), F.date_format("ts", "yyyyMMdd_HHmmss"), F.lit("_"), F.substring(F.md5(F.col("event_id").cast("string")), 1, 6))
+    return t.events.select("event_id", made.alias("sessao"))
+
+
+@query("""select id, strftime(adicionado at time zone 'UTC', '%Y-%m-%dT%H:%M:%S') as iso, strftime(adicionado at time zone 'UTC', '%d/%m/%Y %H:%M') as data from exemplos""")
+def ts_format(t: Tables) -> DataFrame:
+    return t.exemplos.select("id", F.date_format("adicionado", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.date_format("adicionado", "dd/MM/yyyy HH:mm").alias("data"))
+
+
+# --- text and retrieval ----------------------------------------------------------------------------------------------
+
+
+@query()
+def normalize_text(t: Tables) -> DataFrame:
+    return t.exemplos.select("id", F.trim(F.regexp_replace(T.fold_column(F.col("texto")), r"\s{2,}", " ")).alias("texto"))
+
+
+TOKEN_CODE = r"\"[^\"\n]*\"|'[^'\n]*'|#[^\n]*|//[^\n]*|0[xX][0-9a-fA-F]+|\d+\.\d+|\d+|[A-Za-z_]\w*|===|!==|==|!=|<=|>=|=>|->|&&|\|\||\+=|-=|\*=|/=|\*\*|//|[-+*/%=<>!&|^~?:;,.(){}\[\]]|\n|\t|\S"
+
+
+@query(f"with c as (select id, unnest(regexp_extract_all(conteudo, '{TOKEN_CODE.replace(chr(39), chr(39) * 2)}')) as token from contexto_codigo) select id, count(*) as n, count(distinct token) as distintos from c group by id")
+def code_tokens(t: Tables) -> DataFrame:
+    each = t.contexto_codigo.select("id", F.explode(F.regexp_extract_all("conteudo", F.lit(TOKEN_CODE), F.lit(0))).alias("token"))
+    return each.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("token").alias("distintos"))
+
+
+@query()
+def looks_like_code(t: Tables) -> DataFrame:
+    return t.exemplos.filter("texto is not null").select("id", codescan.looks_like_code(F.col("texto")).alias("codigo"))
+
+
+CHUNKS_SQL = f"""c as (select doc_id, text, case when length(text) <= 300 then 1 else cast(ceil((length(text) - 300) / 150) as integer) + 1 end as n from documents where length(text) > 0),
+    u as (select doc_id, unnest(range(n)) as chunk_no, text from c),
+    chunk as (select doc_id, cast(chunk_no as integer) as chunk_no, {strip_sql('substr(text, chunk_no * 150 + 1, 300)')} as trecho from u where {strip_sql('substr(text, chunk_no * 150 + 1, 300)')} <> '')"""
+
+
+@query(f"with {CHUNKS_SQL} select doc_id, chunk_no, trecho from chunk")
+def chunks(t: Tables) -> DataFrame:
+    return retrieval.chunks(t.documents, "doc_id", "text")
+
+
+@query(f"with x as (select doc_id, unnest(regexp_extract_all(lower(text), '{retrieval.TOKEN}')) as token from documents) select doc_id, count(*) as n from x group by doc_id")
+def rag_tokens(t: Tables) -> DataFrame:
+    return retrieval.tokens(t.documents, ["doc_id"], "text").groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+TF_SQL = f"""x as (select doc_id, chunk_no, regexp_extract_all(lower(trecho), '{retrieval.TOKEN}') as a from chunk),
+    y as (select doc_id, chunk_no, len(a) as size, unnest(a) as token from x),
+    tf as (select doc_id, chunk_no, token, count(*) as n, count(*) / min(size) as tf from y group by doc_id, chunk_no, token)"""
+
+
+@query(f"with {CHUNKS_SQL}, {TF_SQL} select token, count(*) as df, cast(sum(n) as bigint) as n, round(sum(tf), 6) as tf from tf group by token")
+def tf(t: Tables) -> DataFrame:
+    p = retrieval.term_frequencies(retrieval.chunks(t.documents, "doc_id", "text"), ["doc_id", "chunk_no"], "trecho")
+    return p.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("n"), F.round(F.sum("tf"), 6).alias("tf"))
+
+
+@query(f"with {CHUNKS_SQL}, {TF_SQL} select token, count(*) as df from tf group by token")
+def df(t: Tables) -> DataFrame:
+    return retrieval.document_frequencies(retrieval.term_frequencies(retrieval.chunks(t.documents, "doc_id", "text"), ["doc_id", "chunk_no"], "trecho"))
+
+
+@query(
+    f"""with {CHUNKS_SQL}, {TF_SQL}, total as (select count(*) as total from chunk),
+    w as (select token, ln((total + 1) / (count(*) + 1)) + 1 as idf from tf, total group by token, total),
+    p as (select doc_id, chunk_no, token, tf * idf as w from tf join w using (token)),
+    nrm as (select doc_id, chunk_no, sqrt(sum(w * w)) as norm from p group by doc_id, chunk_no),
+    qa as (select item_id, regexp_extract_all(lower(texto), '{retrieval.TOKEN}') as a from avaliacao),
+    qy as (select item_id, len(a) as size, unnest(a) as token from qa),
+    q as (select item_id, token, count(*) / min(size) * coalesce(min(idf), 0) as q from qy left join w using (token) group by item_id, token),
+    qn as (select item_id, sqrt(sum(q * q)) as q_norm from q group by item_id),
+    d as (select item_id, doc_id, chunk_no, sum(p.w * q.q) as dot from p join q using (token) group by item_id, doc_id, chunk_no),
+    s as (select item_id, doc_id, chunk_no, round(round(dot / (norm * q_norm), 9), 4) as score from d join nrm using (doc_id, chunk_no) join qn using (item_id)),
+    r as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id, chunk_no) as integer) as rank from s where score > 0)
+    select item_id, rank, doc_id, chunk_no, score from r where rank <= 3"""
+)
+def tfidf_topk(t: Tables) -> DataFrame:
+    return retrieval.rank_chunks(retrieval.chunks(t.documents, "doc_id", "text"), t.avaliacao, "item_id", "texto")
+
+
+@query()
+def rag_context(t: Tables) -> DataFrame:
+    table = retrieval.chunks(t.documents, "doc_id", "text")
+    return retrieval.context_strings(retrieval.rank_chunks(table, t.avaliacao, "item_id", "texto"), table, "item_id")
+
+
+# --- messages --------------------------------------------------------------------------------------------------------
+
+
+@query()
+def intents(t: Tables) -> DataFrame:
+    return intent.intents(t.historico, "id", "conteudo")
+
+
+@query(r"select doc_id, nullif(regexp_extract(text, '(?s)```\w*\n(.*?)```', 1), '') as codigo from documents")
+def extract_code(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", intent.fenced_code(F.col("text")).alias("codigo"))
+
+
+@query()
+def language_mention(t: Tables) -> DataFrame:
+    return t.historico.select("id", intent.language_mention(F.col("conteudo")).alias("linguagem"))
+
+
+@query(r"select id, nullif(regexp_extract(conteudo, '([\w\-]+\.(?:py|js|ts|java|go|rs|rb|php|sql|sh|html|css|json|ya?ml|xml|md))', 1), '') as arquivo from contexto_codigo")
+def filename_mention(t: Tables) -> DataFrame:
+    return t.contexto_codigo.select("id", intent.file_mention(F.col("conteudo")).alias("arquivo"))
+
+
+@query()
+def pref_extract(t: Tables) -> DataFrame:
+    return intent.stated_preferences(t.historico, "id", "conteudo")
+
+
+@query()
+def prompt(t: Tables) -> DataFrame:
+    return intent.prompts(t.historico.filter("sessao_id is not null"), F.lit("explica"))
+
+
+# --- code ------------------------------------------------------------------------------------------------------------
+
+
+@query()
+def code_language(t: Tables) -> DataFrame:
+    return t.contexto_codigo.select("id", codescan.detect_language(F.col("nome_arquivo"), F.col("conteudo")).alias("linguagem"))
+
+
+LINES_SQL = "l as (select id, unnest(range(1, len(string_split(replace(conteudo, chr(13), ''), chr(10))) + 1)) as linha, unnest(string_split(replace(conteudo, chr(13), ''), chr(10))) as texto from contexto_codigo where conteudo is not null)"
+
+
+@query(
+    f"""with {LINES_SQL}, k as (select id, trim(replace(texto, chr(9), ' ')) as x from l)
+    select id, count(*) as total, count(*) filter (where x <> '' and not starts_with(x, '#')) as codigo, count(*) filter (where starts_with(x, '#')) as comentario, count(*) filter (where x = '') as branco from k group by id"""
+)
+def line_classes(t: Tables) -> DataFrame:
+    return codescan.line_classes(t.contexto_codigo)
+
+
+@query()
+def block_line_classes(t: Tables) -> DataFrame:
+    return codescan.block_line_classes(t.contexto_codigo, "#", '"""', '"""')
+
+
+@query(
+    f"""with {LINES_SQL}, d as (select id, sum(length(regexp_replace(texto, '[^{{]', '', 'g')) - length(regexp_replace(texto, '[^}}]', '', 'g'))) over (partition by id order by linha) as d from l)
+    select id, cast(greatest(0, max(d)) as bigint) as profundidade from d group by id"""
+)
+def nesting_depth(t: Tables) -> DataFrame:
+    return codescan.brace_depth(t.contexto_codigo)
+
+
+@query("select id, cast(1" + "".join(f" + len(regexp_extract_all(conteudo, '{p}'))" for p in codescan.DECISIONS) + " as bigint) as complexidade from contexto_codigo where conteudo is not null")
+def complexity(t: Tables) -> DataFrame:
+    return t.contexto_codigo.filter("conteudo is not null").select("id", codescan.complexity(F.col("conteudo")).alias("complexidade"))
+
+
+FUNCTIONS_SQL = f"{LINES_SQL}, f as (select id, linha, regexp_extract(texto, '{codescan.FUNCTIONS['python']}', 1) as nome from l), g as (select * from f where nome <> ''), n as (select id, max(linha) as total from l group by id)"
+
+
+@query(f"with {FUNCTIONS_SQL} select id, cast(linha as integer) as linha, nome, cast(coalesce(lead(linha) over (partition by id order by linha) - linha - 1, total - linha) as bigint) as tamanho from g join n using (id)")
+def function_spans(t: Tables) -> DataFrame:
+    return codescan.functions(t.contexto_codigo)
+
+
+IMPORTS_SQL = LINES_SQL + r""", m as (select id, cast(linha as integer) as linha, trim(case when regexp_extract(texto, '^\s*import\s+(.+)', 1) <> '' then regexp_extract(texto, '^\s*import\s+(.+)', 1)
+    else regexp_extract(texto, '^\s*from\s+(\S+)\s+import\s+.+', 1) end) as modulo from l)"""
+
+
+@query(f"with {IMPORTS_SQL} select * from m where modulo <> ''")
+def imports(t: Tables) -> DataFrame:
+    return codescan.imports(t.contexto_codigo)
+
+
+@query(f"with {IMPORTS_SQL}, d as (select *, min(linha) over (partition by id, modulo) as primeira from m where modulo <> '') select * from d where linha > primeira")
+def dup_imports(t: Tables) -> DataFrame:
+    return codescan.duplicate_imports(t.contexto_codigo)
+
+
+def lint_sql(rules: list[tuple[str, str, str | None, int]]) -> str:
+    """The rules as one branch each."""
+    parts = []
+    for name, pattern, unless, severity in rules:
+        but = f" and not regexp_matches(texto, '{unless}')" if unless else ""
+        parts.append(f"select id, cast(linha as integer) as linha, '{name}' as regra, {severity} as severidade from l where regexp_matches(texto, '{pattern.replace(chr(39), chr(39) * 2)}'){but}")
+    return f"with {LINES_SQL} " + " union all ".join(parts)
+
+
+@query(lint_sql(codescan.PYTHON_RULES))
+def lint_python(t: Tables) -> DataFrame:
+    return codescan.lint(t.contexto_codigo, codescan.PYTHON_RULES)
+
+
+@query(lint_sql(codescan.JS_RULES))
+def lint_js(t: Tables) -> DataFrame:
+    return codescan.lint(t.contexto_codigo, codescan.JS_RULES)
+
+
+@query(lint_sql(codescan.GENERIC_RULES))
+def lint_generic(t: Tables) -> DataFrame:
+    return codescan.lint(t.contexto_codigo, codescan.GENERIC_RULES)
+
+
+@query(f"select regra, severidade, count(*) as n, count(distinct id) as arquivos from ({lint_sql(codescan.PYTHON_RULES)}) group by regra, severidade")
+def lint_summary(t: Tables) -> DataFrame:
+    return codescan.lint_summary(codescan.lint(t.contexto_codigo, codescan.PYTHON_RULES))
+
+
+@query()
+def quality_score(t: Tables) -> DataFrame:
+    return codescan.quality_score(t.contexto_codigo, codescan.lint(t.contexto_codigo, codescan.PYTHON_RULES))
+
+
+@query(r"select id, case when ends_with(c, chr(10)) then c else c || chr(10) end as conteudo from (select id, regexp_replace(conteudo, '\n{4,}', chr(10) || chr(10) || chr(10), 'g') as c from contexto_codigo)")
+def fix_blank_lines(t: Tables) -> DataFrame:
+    return t.contexto_codigo.select("id", rewrite.fix_blank_lines(F.col("conteudo")).alias("conteudo"))
+
+
+@query()
+def fix_python_cmp(t: Tables) -> DataFrame:
+    return t.contexto_codigo.select("id", rewrite.fix_comparisons(F.col("conteudo")).alias("conteudo"))
+
+
+@query(r"select id, regexp_replace(conteudo, '(?m)^([ \t]*)(print\s*\()', '\1# \2', 'g') as conteudo from contexto_codigo")
+def fix_prints(t: Tables) -> DataFrame:
+    return t.contexto_codigo.select("id", rewrite.comment_out(F.col("conteudo"), "print", "#").alias("conteudo"))
+
+
+@query()
+def fix_js_eq(t: Tables) -> DataFrame:
+    return t.contexto_codigo.select("id", rewrite.fix_loose_equality(F.col("conteudo")).alias("conteudo"))
+
+
+@query(r"select id, regexp_replace(conteudo, '(?m)^(\s*)var\s+', '\1let ', 'g') as conteudo from contexto_codigo")
+def fix_js_var(t: Tables) -> DataFrame:
+    return t.contexto_codigo.select("id", rewrite.fix_var(F.col("conteudo")).alias("conteudo"))
+
+
+@query()
+def fix_credentials(t: Tables) -> DataFrame:
+    return t.contexto_codigo.select("id", rewrite.credentials_to_environment(F.col("conteudo")).alias("conteudo"))
+
+
+@query(
+    LINES_SQL.join(["with ", r""", i as (select *, regexp_matches(texto, '^\s*(import\s+\S|from\s+\S+\s+import\s)') as imp from l),
+    k as (select *, row_number() over (partition by id, trim(texto), imp order by linha) as k from i)
+    select id, string_agg(texto, chr(10) order by linha) as conteudo from k where not imp or k = 1 group by id"""])
+)
+def fix_dup_imports(t: Tables) -> DataFrame:
+    return rewrite.drop_duplicate_imports(t.contexto_codigo.filter("conteudo is not null"))
+
+
+@query(r"select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), 'https?://\S+', '', 'g'), '[ \t]+', ' ', 'g') as texto from documents")
+def clean_markup(t: Tables) -> DataFrame:
+    c = F.col("text")
+    for pattern, to in ((r"<[^>]+>", ""), (r"https?://\S+", ""), (r"[ \t]+", " ")):
+        c = F.regexp_replace(c, pattern, to)
+    return t.documents.select("doc_id", c.alias("texto"))
+
+
+@query(f"select doc_id, " + "regexp_replace(" * 8 + "text" + r", '\{\{[^\{\}]*?\}\}', '', 'g')" * 8 + " as texto from documents")
+def strip_nested(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", markup.strip_nested(F.col("text"), "{{", "}}").alias("texto"))
+
+
+# --- vectors and images ----------------------------------------------------------------------------------------------
+
+X_SQL = "x as (select vec_id as id, unnest(range(len(embedding))) as pos, cast(unnest(embedding) as double) as x from embeddings)"
+P_SQL = X_SQL + ", e as (select id, pos, exp((x - max(x) over (partition by id)) / 0.1) as e from x), p as (select id, pos, e / sum(e) over (partition by id) as p from e)"
+
+
+def _probabilities(t: Tables) -> DataFrame:
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.posexplode(numerics.softmax(F.col("embedding"), 0.1)).alias("pos", "p"))
+
+
+@query(f"with {P_SQL} select id, cast(pos as integer) as pos, round(p, 6) as p from p")
+def softmax(t: Tables) -> DataFrame:
+    return _probabilities(t).select("id", "pos", F.round("p", 6).alias("p"))
+
+
+@query(f"with {P_SQL}, k as (select id, pos, round(p, 9) as p, rank() over (partition by id order by round(p, 9) desc) as posto from p) select id, cast(pos as integer) as pos, cast(posto as integer) as posto from k where posto <= 10")
+def top_k(t: Tables) -> DataFrame:
+    return numerics.top_k(_probabilities(t).withColumn("p", F.round("p", 9)), 10).select("id", "pos", "posto")
+
+
+@query(f"with {P_SQL}, k as (select id, pos, p, sum(p) over (partition by id order by p desc, pos rows unbounded preceding) as m from (select id, pos, round(p, 9) as p from p)) select id, cast(pos as integer) as pos from k where round(m - p, 9) < 0.9")
+def top_p(t: Tables) -> DataFrame:
+    kept = numerics.top_p(_probabilities(t).withColumn("p", F.round("p", 9)), 2.0)
+    return kept.filter(F.round(F.col("massa") - F.col("p"), 9) < 0.9).select("id", "pos")
+
+
+@query(f"with {X_SQL} select id, cast(pos as integer) as pos, round(case when pos % 3 <> 0 then x when x > 0 then x / 1.3 else x * 1.3 end, 6) as y from x")
+def rep_penalty(t: Tables) -> DataFrame:
+    return numerics.repetition_penalty(numerics.exploded(t.embeddings, "vec_id", "embedding"), F.col("pos") % 3 == 0, 1.3).select("id", "pos", F.round("y", 6).alias("y"))
+
+
+@query(f"with {X_SQL} select id, cast(pos as integer) as pos, round((x - avg(x) over w) / sqrt(var_pop(x) over w + 1e-5), 6) as y from x window w as (partition by id)")
+def layernorm(t: Tables) -> DataFrame:
+    return numerics.layer_norm(numerics.exploded(t.embeddings, "vec_id", "embedding")).select("id", "pos", F.round("y", 6).alias("y"))
+
+
+@query(f"with {X_SQL} select id, cast(pos as integer) as pos, round(0.5 * x * (1 + (exp(2 * u) - 1) / (exp(2 * u) + 1)), 6) as gelu, round(x / (1 + exp(-x)), 6) as silu from (select *, 0.7978845608028654 * (x + 0.044715 * x * x * x) as u from x)")
+def gelu(t: Tables) -> DataFrame:
+    x = numerics.exploded(t.embeddings, "vec_id", "embedding")
+    return x.select("id", "pos", F.round(numerics.gelu(F.col("x")), 6).alias("gelu"), F.round(numerics.silu(F.col("x")), 6).alias("silu"))
+
+
+@query(f"with {P_SQL} select id, round(-ln(p + 1e-9), 6) as perda from p where pos = 0")
+def cross_entropy(t: Tables) -> DataFrame:
+    return _probabilities(t).filter("pos = 0").select("id", F.round(numerics.cross_entropy(F.col("p")), 6).alias("perda"))
+
+
+@query(f"with {P_SQL}, l as (select round(-ln(p + 1e-9), 6) as perda from p where pos = 0) select round(exp(least(avg(perda), 20)), 4) as perplexidade from l")
+def perplexity(t: Tables) -> DataFrame:
+    return cross_entropy(t).agg(F.round(numerics.perplexity(F.col("perda")), 4).alias("perplexidade"))
+
+
+@query("select pos, i, round(case when i % 2 = 0 then sin(a) else cos(a) end, 6) as valor from (select pos, i, pos / pow(10000.0, (2 * (i // 2)) / 64.0) as a from (select unnest(range(128)) as pos), (select unnest(range(64)) as i))")
+def positional_encoding(t: Tables) -> DataFrame:
+    table = numerics.positional_encoding(t.spark.range(128).withColumnRenamed("id", "pos"), 64)
+    return table.select("pos", F.col("i").cast("long").alias("i"), F.round("valor", 6).alias("valor"))
+
+
+@query(
+    """with e as (select vec_id // 32 as seq, vec_id % 32 as pos, embedding from embeddings),
+    s as (select a.seq, a.pos as q, b.pos as k, list_sum(list_transform(range(1, 65), lambda i: cast(a.embedding[i] as double) * cast(b.embedding[i] as double))) / 8 as s from e a join e b on a.seq = b.seq and b.pos <= a.pos),
+    x as (select *, exp(s - max(s) over (partition by seq, q)) as e from s)
+    select seq, q, k, round(e / (sum(e) over (partition by seq, q) + 1e-9), 6) as peso from x"""
+)
+def attention_scores(t: Tables) -> DataFrame:
+    e = t.embeddings.select(F.expr("vec_id div 32").alias("seq"), F.expr("vec_id % 32").alias("pos"), "embedding")
+    return numerics.causal_attention(e, "seq", "pos", "embedding", 64).withColumn("peso", F.round("peso", 6))
+
+
+def _pixels(t: Tables) -> DataFrame:
+    """A pixel for each event: image by user, channels by its number."""
+    return t.events.select(F.col("user_id").alias("img"), (F.col("event_id") * 7919 % 256).alias("r"), (F.col("event_id") * 104729 % 256).alias("g"), (F.col("event_id") * 1299709 % 256).alias("b"))
+
+
+PIXELS_SQL = "px as (select user_id as img, event_id * 7919 % 256 as r, event_id * 104729 % 256 as g, event_id * 1299709 % 256 as b from events)"
+
+
+@query(
+    f"""with {PIXELS_SQL}, f as (select img, r / 255.0::double as r, g / 255.0::double as g, b / 255.0::double as b from px),
+    d as (select *, greatest(r, g, b) as hi, least(r, g, b) as lo, greatest(r, g, b) - least(r, g, b) as d from f),
+    h as (select *, case when d = 0 then 0 when hi = r then 60 * ((g - b) / d - 6 * floor((g - b) / d / 6)) when hi = g then 60 * ((b - r) / d + 2) else 60 * ((r - g) / d + 4) end as h from d)
+    select img, case when hi < 0.15 then 'preto' when lo > 0.85 then 'branco' when d < 0.12 or d / hi < 0.2 then 'cinza' when h >= 330 then 'rosa/vermelho' when h >= 270 then 'roxo/violeta' when h >= 210 then 'azul'
+    when h >= 180 then 'azul claro' when h >= 150 then 'ciano' when h >= 90 then 'verde' when h >= 60 then 'amarelo/verde' when h >= 30 then 'laranja/amarelo' else 'vermelho' end as cor, count(*) as n from h group by 1, 2"""
+)
+def rgb_name(t: Tables) -> DataFrame:
+    return images.colour_histogram(_pixels(t))
+
+
+@query(f"with {PIXELS_SQL} select img, round(count(distinct (r, g, b)) / count(*), 6) as razao from px group by img")
+def colour_ratio(t: Tables) -> DataFrame:
+    return images.unique_colour_share(_pixels(t)).withColumn("razao", F.round("razao", 6))
+
+
+@query(
+    f"""with {PIXELS_SQL}, s as (select img, (avg(r) + avg(g) + avg(b)) / 3 as m, (stddev_pop(r) + stddev_pop(g) + stddev_pop(b)) / 3 as d from px group by img)
+    select img, round(m, 6) as brilho, round(d, 6) as desvio, case when m > 200 then 'clara' when m < 50 then 'escura' else 'equilibrada' end as exposicao, case when d > 60 then 'alto' when d < 15 then 'baixo' else 'medio' end as contraste from s"""
+)
+def brightness(t: Tables) -> DataFrame:
+    return images.brightness(_pixels(t)).withColumns({"brilho": F.round("brilho", 6), "desvio": F.round("desvio", 6)})
+
+
+@query(
+    """with s as (select event_id, 1 + event_id * 31 % 5000 as w, 1 + event_id * 17 % 5000 as h from events)
+    select event_id, case when w > h * 1.5 then 'paisagem' when h > w * 1.5 then 'retrato' else 'quadrada' end as orientacao, round(w * h / 1e6, 2) as mp,
+    case when w <= 4096 and h <= 4096 then w else cast(floor(w * (4096.0::double / greatest(w, h))) as integer) end as largura from s"""
+)
+def image_class(t: Tables) -> DataFrame:
+    s = t.events.select("event_id", (1 + F.col("event_id") * 31 % 5000).alias("w"), (1 + F.col("event_id") * 17 % 5000).alias("h"))
+    return s.select("event_id", images.orientation(F.col("w"), F.col("h")).alias("orientacao"), images.megapixels(F.col("w"), F.col("h")).alias("mp"), images.resized(F.col("w"), F.col("h")).largura.cast("long").alias("largura"))
+
+
+@query()
+def aspect_ratio(t: Tables) -> DataFrame:
+    s = t.events.select("event_id", (1 + F.col("event_id") * 31 % 5000).alias("w"), (1 + F.col("event_id") * 17 % 5000).alias("h"))
+    return s.select("event_id", images.aspect_ratio(F.col("w"), F.col("h")).alias("proporcao"))
