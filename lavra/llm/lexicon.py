@@ -19,7 +19,7 @@ COMMON = {
     ).split(),
     "en": (
         "a about according after all also although an and any are as at be because been before between but by can could did do does during each "
-        "for from had has have he her his how i if in into is it its many may more most much must my no not of on one only or other our out over "
+        "for from had has have he her his how if in into is it its many may more most much must my no not of on one only or other our out over "
         "quite rather she should since so some such than that the their them then there these they this through to too up was we were what when "
         "where which while who whoever will with within without would you your"
     ).split(),

@@ -25,6 +25,7 @@ from lavra.llm import lexicon
 # Fixed values.
 LINE_END = ".!?…:;\"'”’»)"
 BULLETS = "-*•·–—►▪"
+CODE_MARKS = "{}[]<>=_;|\\^~$#@+*&"
 RULES = {
     "few_words": "n_words < 10",
     "word_length": "mean_word_length < 3 or mean_word_length > 10",
@@ -34,12 +35,13 @@ RULES = {
     "short_lines": "short_line_share > 0.67",
     "digits": "digit_share > 0.20",
     "alphabetic_words": "alpha_word_share < 0.8",
-    "common_words": "common_word_share < 0.235",
+    "code_marks": "code_mark_share > 0.03",
+    "common_words": "common_word_share < 0.27",
 }
-NOT_PROSE = ("common_words",)
+NOT_PROSE = ("code_marks", "common_words")
 COLUMNS = (
     "n_chars long, n_words long, n_lines long, mean_word_length double, symbol_share double, digit_share double, "
-    "punct_line_share double, bullet_line_share double, short_line_share double, alpha_word_share double, common_word_share double"
+    "punct_line_share double, bullet_line_share double, short_line_share double, alpha_word_share double, code_mark_share double, common_word_share double"
 )
 
 
@@ -64,6 +66,7 @@ def _statistics(texts: pa.Array) -> list[np.ndarray]:
     digits = per_doc(kind == cp.DIGIT)
     plain = np.isin(codes, np.array([ord(c) for c in ".,;:!?\"'()-"], np.uint32))
     symbols = per_doc((kind == cp.OTHER) & ~plain)
+    code = per_doc(np.isin(codes, np.array([ord(c) for c in CODE_MARKS], np.uint32)))
     start, end, row = cp.words(codes, bounds)
     n_words = np.bincount(row, minlength=n)
     letters = np.concatenate([[0], np.cumsum(kind == cp.LETTER, dtype=np.int64)])
@@ -88,7 +91,7 @@ def _statistics(texts: pa.Array) -> list[np.ndarray]:
 
     return [
         n_chars, n_words, n_lines, _share(length, n_words), _share(symbols, visible), _share(digits, visible),
-        lines(ends), lines(opens), lines(short), _share(alpha, n_words), _share(common, n_words),
+        lines(ends), lines(opens), lines(short), _share(alpha, n_words), _share(code, visible), _share(common, n_words),
     ]
 
 
