@@ -18,7 +18,8 @@ bits, so each of those is a block. The order puts rare shingles first, which kee
 Records with equal sets form a class. Pairs between classes come once, membership separately; `expanded_pairs` joins both.
 
 Cases: a null, empty or short text (fewer than `min_words` words, or than `words`) has no pairs and no class. Repeated
-rows under new ids are a class of their own; rows with the same id and text count once. Text is folded first.
+rows under new ids are a class of their own; rows with the same id and text count once, rows without an id not at all. Text
+is folded first.
 """
 
 from __future__ import annotations
@@ -146,17 +147,39 @@ class NearDuplicates:
     def classes(self) -> DataFrame:
         return self.members.groupBy("h").agg(F.min("id").alias("representative"), F.count("*").alias("copies"))
 
-    def expanded_pairs(self) -> DataFrame:
-        """id_a < id_b for every pair of records, copies included."""
-        between = (
-            self.pairs.select("h_a", "h_b")
-            .join(self.members.selectExpr("id as id_a", "h as h_a"), "h_a")
-            .join(self.members.selectExpr("id as id_b", "h as h_b"), "h_b")
-            .select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
-        )
-        many = self.members.join(self.classes().filter("copies > 1").select("h"), "h", "left_semi")
-        within = many.selectExpr("id as id_a", "h").join(many.selectExpr("id as id_b", "h"), "h").filter("id_a < id_b").select("id_a", "id_b")
-        return between.unionByName(within)
+    def expanded_pairs(self, largest_class: int = 256) -> DataFrame:
+        """id_a < id_b for every pair of records, copies included.
+
+        Of a class of more than largest_class equal sets, the representative stands for all in pairs with other classes, and
+        the class itself is given as (representative, copy): every link between different sets is there, and the number of
+        rows stays linear in the size of a group of copies.
+        """
+        return expand_classes(self.pairs.select("h_a", "h_b"), self.members, "h", largest_class)
+
+
+def expand_classes(pairs: DataFrame, members: DataFrame, key: str, largest: int, keep: tuple[str, ...] = (), own: str | None = None) -> DataFrame:
+    """id_a < id_b (and keep; own is its value within a class) from pairs of classes and members(id, key)."""
+    classes = members.groupBy(key).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
+    classes = materialize(classes, "classes")
+    large = classes.filter(F.col("copies") > largest).select(key, "rep")
+    if large.count() <= BROADCAST_IDS:
+        large = F.broadcast(large)
+    marked = members.join(large, key, "left")
+    stands = marked.filter("rep is null or id = rep").select("id", key)
+    between = (
+        pairs.join(stands.select(F.col("id").alias("x"), F.col(key).alias(f"{key}_a")), f"{key}_a")
+        .join(stands.select(F.col("id").alias("y"), F.col(key).alias(f"{key}_b")), f"{key}_b")
+        .filter("x <> y")
+        .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), *keep)
+    )
+    value = [F.col(own).alias(keep[0])] if own else []
+    extra = [own] if own else []
+    small = members.join(classes.filter(F.col("copies") <= largest).select(key), key, "left_semi")
+    within = (
+        small.select(F.col("id").alias("id_a"), key, *extra).join(small.select(F.col("id").alias("id_b"), key), key).filter("id_a < id_b").select("id_a", "id_b", *value)
+    )
+    star = members.join(large, key).filter("id > rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), *value)
+    return between.unionByName(within).unionByName(star)
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, min_words: int | None = None) -> NearDuplicates:
@@ -166,7 +189,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     if not 0 < t <= 1:
         raise ValueError("threshold must be in (0, 1]")
     least = max(min_words or words, words)
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") >= 2 * least - 1)
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= 2 * least - 1))
     levels = spark.sparkContext.broadcast(shingle_levels(texts, words, least))
     docs = materialize(fingerprints(texts, levels, words, least), "fingerprints")
     members = docs.select("id", F.col("h1").alias("h")).distinct()

@@ -11,7 +11,7 @@ intervals; it forms no pairs, so a span that stands in very many records costs w
 Equal texts form a class that is searched once (a task keeps one of them); classes are expanded at the end.
 
 Cases: null, empty and shorter texts share nothing. Repeats within one record do not count. Rows with the same id and text
-count once. Nothing is folded.
+count once, rows without an id not at all. Nothing is folded.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions import codepoints as cp
 from lavra.functions.arrow import SMALL_PIECE
+from lavra.llm.neardup import expand_classes
 from lavra.session import materialize
 
 POSITION_BITS = 26
@@ -97,7 +98,7 @@ def _windows(texts: pa.Array, min_chars: int) -> tuple[np.ndarray, ...]:
 
 def chosen(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """id, h (hash of the whole text), n_chars, windows and positions (null for a text this task has seen)."""
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") >= min_chars)
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= min_chars))
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +155,11 @@ def _runs(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]], size: int)
     return out
 
 
-def shared_pairs(df: DataFrame, id_col: str, text_col: str, min_chars: int = 300) -> DataFrame:
-    """doc_a < doc_b, longest: every pair of records that share a span of min_chars or more, and the longest of them."""
+def shared_pairs(df: DataFrame, id_col: str, text_col: str, min_chars: int = 300, largest_class: int = 256) -> DataFrame:
+    """doc_a < doc_b, longest: every pair of records that share a span of min_chars or more, and the longest of them.
+
+    More than largest_class equal texts are given as (least id, copy), and the least stands for all in other pairs.
+    """
     size, _ = _plan(min_chars)
     docs = materialize(chosen(df, id_col, text_col, min_chars), "span-windows")
     entry = docs.filter("windows is not null").select("h", F.explode(F.arrays_zip("windows", "positions")).alias("x")).select("h", F.col("x.windows").alias("w"), F.col("x.positions").alias("p"))
@@ -185,14 +189,7 @@ def shared_pairs(df: DataFrame, id_col: str, text_col: str, min_chars: int = 300
 
     linked = materialize(both.select("h_a", "h_b", "at", "text_a", "text_b").mapInArrow(verify, "h_a long, h_b long, longest long"), "span-pairs")
     members = docs.select("id", "h", "n_chars").distinct()
-    between = (
-        linked.join(members.selectExpr("id as id_a", "h as h_a"), "h_a")
-        .join(members.selectExpr("id as id_b", "h as h_b"), "h_b")
-        .select(F.least("id_a", "id_b").alias("doc_a"), F.greatest("id_a", "id_b").alias("doc_b"), "longest")
-    )
-    many = members.join(members.groupBy("h").count().filter("count > 1").select("h"), "h", "left_semi")
-    within = many.selectExpr("id as doc_a", "h", "n_chars as longest").join(many.selectExpr("id as doc_b", "h"), "h").filter("doc_a < doc_b").select("doc_a", "doc_b", "longest")
-    return between.unionByName(within)
+    return expand_classes(linked, members, "h", largest_class, ("longest",), "n_chars").withColumnsRenamed({"id_a": "doc_a", "id_b": "doc_b"})
 
 
 def shared_coverage(df: DataFrame, id_col: str, text_col: str, min_chars: int = 300) -> DataFrame:

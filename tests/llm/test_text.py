@@ -54,6 +54,12 @@ def test_near_duplicates_equal_brute_force(spark, size, threshold, least):
     found = neardup.near_duplicates(df, "id", "texto", size, threshold, least)
     got = [tuple(r) for r in found.expanded_pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == expected
+    star = {tuple(r) for r in found.expanded_pairs(largest_class=5).collect()}
+    copies = {}
+    for i in sets:
+        copies.setdefault(frozenset(sets[i]), []).append(i)
+    large = {i: min(c) for c in copies.values() if len(c) > 5 for i in c}
+    assert star == {(a, b) for a, b in expected if (large.get(a, a), large.get(b, b)) == (a, b) or large.get(b) == a and large.get(a) == a} and large
     parent = {i: i for i in sets}
 
     def find(x):
@@ -169,6 +175,7 @@ def test_shared_spans_equal_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as h", "'z' as windows").repartition(4)
     got = [tuple(r)[:2] for r in spans.shared_pairs(df, "doc_id", "text", least).collect()]
     assert len(got) == len(set(got)) and set(got) == expected and expected
+    assert {tuple(r)[:2] for r in spans.shared_pairs(df, "doc_id", "text", least, largest_class=2).collect()} <= expected
     covered = {r.id: r.shared_chars for r in spans.shared_coverage(df, "doc_id", "text", least).collect()}
     for i, t in have.items():
         marks = set()
