@@ -63,6 +63,6 @@ def length_statistics(lengths: DataFrame, column: str) -> DataFrame:
 
 def length_histogram(lengths: DataFrame, column: str, width: int = 16) -> DataFrame:
     """Counts per bin of a fixed width; the largest value belongs to the last full bin if it opens one of its own."""
-    top = lengths.agg(F.max(column).alias("__top"))
-    last = F.expr(f"greatest(0, (__top - 1) div {width})")
-    return lengths.crossJoin(F.broadcast(top)).select(F.least(F.expr(f"{column} div {width}"), last).cast("long").alias("faixa")).groupBy("faixa").agg(F.count("*").alias("n"))
+    top = lengths.agg(F.max(column)).scalar()
+    last = F.greatest(F.lit(0), F.floor((top - 1) / width))
+    return lengths.select(F.least(F.floor(F.col(column) / width), last).cast("long").alias("faixa")).groupBy("faixa").agg(F.count("*").alias("n"))

@@ -45,8 +45,8 @@ def rank_chunks(chunk_table: DataFrame, queries: DataFrame, query_id: str, query
     from lavra.session import materialize
 
     postings = materialize(term_frequencies(chunk_table, ["doc_id", "chunk_no"], "trecho"), "postings")
-    total = chunk_table.select(F.count("*").alias("__total"))
-    weights = document_frequencies(postings).crossJoin(F.broadcast(total)).select("token", (F.log((F.col("__total") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    total = chunk_table.agg(F.count("*")).scalar()
+    weights = document_frequencies(postings).select("token", (F.log((total + 1) / (F.col("df") + 1)) + 1).alias("idf"))
     weighted = postings.join(weights, "token").select("doc_id", "chunk_no", "token", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighted.groupBy("doc_id", "chunk_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     asked = term_frequencies(queries, [query_id], query_text)

@@ -118,7 +118,7 @@ def insert_ignore_counts(t: Tables) -> DataFrame:
     """Both halves of the corpus are read whole: one stands for what exists, the other for what arrives."""
     old, new = t.exemplos.filter("id % 2 = 1"), t.exemplos.filter("id % 2 = 0")
     fresh = corpus.insert_ignore(old.filter("texto is not null"), new.filter("texto is not null")).agg(F.count("*").alias("adicionados"))
-    return fresh.crossJoin(F.broadcast(new.agg(F.count("*").alias("n")))).select("adicionados", (F.col("n") - F.col("adicionados")).alias("repetidos"))
+    return fresh.select("adicionados", (new.agg(F.count("*")).scalar() - F.col("adicionados")).alias("repetidos"))
 
 
 @query(f"with s as (select id, substr({strip_sql('texto')}, 1, 50000) as texto from exemplos where length({strip_sql('texto')}) >= 5) select min(id) as id, texto from s group by texto")
