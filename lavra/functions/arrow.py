@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import gc
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 SMALL_PIECE = 1 << 18
 
 
-def map_arrow(df: DataFrame, schema: str, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per context, so that they need no installation or path of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_lavra_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    at = Path(tempfile.mkdtemp(prefix="lavra-ship-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    context.addPyFile(str(at))
+    context._lavra_shipped = True
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with this package at hand in the workers."""
+    ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lavra.functions.arrow import map_arrow
+
 END = "</w>"
 SPECIALS = ["<PAD>", "<BOS>", "<EOS>", "<UNK>"]
 WORD = r"[\p{L}\p{N}_]+"
@@ -68,7 +70,7 @@ def encode_words(counts: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
             done = [merge_word([*w, END], ranks) for w in b.column("palavra").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("palavra"), b.column("n"), pa.array(done, pa.list_(pa.string()))], ["palavra", "n", "tokens"])
 
-    return counts.select("palavra", F.col("n").cast("long").alias("n")).mapInArrow(run, "palavra string, n long, tokens array<string>")
+    return map_arrow(counts.select("palavra", F.col("n").cast("long").alias("n")), run, "palavra string, n long, tokens array<string>")
 
 
 def token_frequency(encoded: DataFrame) -> DataFrame:
