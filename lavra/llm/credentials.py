@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lavra.functions.arrow import map_arrow
+
 MARK = "REDACTED"
 
 # Words of key names that hold credentials, words that make a key harmless, and values to be filled in.
@@ -344,7 +346,7 @@ def find_credentials(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64()))] + [pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return files.mapInArrow(run, f"id {id_type}, line int, byte_start long, byte_end long, kind string, path string")
+    return map_arrow(files, run, f"id {id_type}, line int, byte_start long, byte_end long, kind string, path string")
 
 
 def redact_files(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -356,4 +358,4 @@ def redact_files(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([redact(t) for t in batch.column("text").to_pylist()], pa.string())], ["id", "text"])
 
-    return files.mapInArrow(run, f"id {id_type}, text string")
+    return map_arrow(files, run, f"id {id_type}, text string")

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lavra.functions.arrow import map_arrow
 from lavra.functions import codepoints as cp
 from lavra.llm.shingles import word_hashes
 
@@ -128,7 +129,7 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
                         ["doc_id", "item_id", "doc_word", "item_word", "n_words"],
                     )
 
-        return texts.mapInArrow(run, schema)
+        return map_arrow(texts, run, schema)
 
     out: DataFrame | None = None
     for block in _blocks(tests, block_words):

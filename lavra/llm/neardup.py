@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.functions import codepoints as cp
-from lavra.functions.arrow import SMALL_PIECE, release
+from lavra.functions.arrow import SMALL_PIECE, map_arrow, release
 from lavra.llm.shingles import shingle_hashes, word_hashes
 from lavra.session import materialize
 
@@ -86,9 +86,9 @@ def shingle_levels(texts: DataFrame, words: int, min_words: int) -> np.ndarray:
             level = [np.minimum(63, np.rint(2 * np.log2(1 + s))).astype(np.uint8).tobytes() for s in sums.values()]
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(level, pa.binary())], ["block", "level"])
 
-    counted = texts.select("text").mapInArrow(count, "block int, counts binary")
+    counted = map_arrow(texts.select("text"), count, "block int, counts binary")
     out = np.zeros(1 << SLOT_BITS, np.uint8)
-    for block, level in counted.repartition("block").mapInArrow(total, "block int, level binary").collect():
+    for block, level in map_arrow(counted.repartition("block"), total, "block int, level binary").collect():
         out[block * BLOCK_SLOTS : (block + 1) * BLOCK_SLOTS] = np.frombuffer(bytes(level), np.uint8)
     return out
 
@@ -134,7 +134,7 @@ def fingerprints(texts: DataFrame, levels, words: int, min_words: int) -> DataFr
             )
 
     id_type = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {id_type}, n int, h1 long, h2 long, f0 long, f1 long, f2 long, f3 long, bits array<long>")
+    return map_arrow(texts, run, f"id {id_type}, n int, h1 long, h2 long, f0 long, f1 long, f2 long, f3 long, bits array<long>")
 
 
 @dataclass

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lavra.functions.arrow import map_arrow
 from lavra.llm.tokens import DEFAULT_VOCABULARY, with_token_counts
 from lavra.session import materialize
 
@@ -125,4 +126,4 @@ def pack_documents(
         if rows:
             yield flush()
 
-    return full.unionByName(items.mapInArrow(fill, schema))
+    return full.unionByName(map_arrow(items, fill, schema))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions import codepoints as cp
-from lavra.functions.arrow import SMALL_PIECE
+from lavra.functions.arrow import SMALL_PIECE, map_arrow
 from lavra.llm.neardup import expand_classes
 from lavra.session import materialize
 
@@ -120,7 +120,7 @@ def chosen(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFra
                     ["id", "h", "n_chars", "windows", "positions"],
                 )
 
-    return texts.mapInArrow(run, f"id {id_type}, h long, n_chars long, windows array<long>, positions array<int>")
+    return map_arrow(texts, run, f"id {id_type}, h long, n_chars long, windows array<long>, positions array<int>")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def shared_pairs(df: DataFrame, id_col: str, text_col: str, min_chars: int = 300
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("h_a").take(at), batch.column("h_b").take(at), pa.array(longest, pa.int64())], ["h_a", "h_b", "longest"])
 
-    linked = materialize(both.select("h_a", "h_b", "at", "text_a", "text_b").mapInArrow(verify, "h_a long, h_b long, longest long"), "span-pairs")
+    linked = materialize(map_arrow(both.select("h_a", "h_b", "at", "text_a", "text_b"), verify, "h_a long, h_b long, longest long"), "span-pairs")
     members = docs.select("id", "h", "n_chars").distinct()
     return expand_classes(linked, members, "h", largest_class, ("longest",), "n_chars").withColumnsRenamed({"id_a": "doc_a", "id_b": "doc_b"})
 
@@ -216,7 +216,7 @@ def shared_coverage(df: DataFrame, id_col: str, text_col: str, min_chars: int =
                 p = np.flatnonzero(np.cumsum(near)[:-1] > 0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), batch.column("h")[i].as_py())), pa.array(p.astype(np.int32)), pa.array(h[p].view(np.int64))], ["h", "p", "w"])
 
-    windows = materialize(spots.join(texts, "h").select("h", "at", "text").mapInArrow(full, "h long, p int, w long"), "span-full")
+    windows = materialize(map_arrow(spots.join(texts, "h").select("h", "at", "text"), full, "h long, p int, w long"), "span-full")
     again = windows.groupBy("w").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("w")
     starts = windows.join(again, "w", "left_semi").groupBy("h").agg(F.array_sort(F.collect_set("p")).alias("p"))
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +231,7 @@ def shared_coverage(df: DataFrame, id_col: str, text_col: str, min_chars: int =
                 out.append([{"start": int(s), "end": int(e)} for s, e in zip(first, last)])
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(out, kind)], ["h", "intervals"])
 
-    spans = starts.mapInArrow(merge, "h long, intervals array<struct<start: int, end: int>>")
+    spans = map_arrow(starts, merge, "h long, intervals array<struct<start: int, end: int>>")
     copies = docs.groupBy("h").agg(F.count_distinct("id").alias("copies"))
     return (
         docs.select("id", "h", "n_chars").distinct().join(copies, "h").join(spans, "h", "left")

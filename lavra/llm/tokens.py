@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions import codepoints as cp
-from lavra.functions.arrow import SMALL_PIECE
+from lavra.functions.arrow import SMALL_PIECE, map_arrow
 from lavra.functions.text import fold_column, strip_column
 from lavra.llm import lexicon
 from lavra.llm.shingles import word_hashes
@@ -157,7 +157,7 @@ def with_token_counts(df: DataFrame, text_col: str, keep: list[str], path: str =
                     out.append(pa.array(lexicon.languages(*word_hashes(part), len(part)).tolist(), pa.string()))
                 yield pa.RecordBatch.from_arrays(out, [*keep, "n_tokens"] + ["language"] * language)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def token_budget(df: DataFrame, text_col: str, source_col: str, domain_col: str, path: str = DEFAULT_VOCABULARY, default_domain: str = "geral") -> DataFrame:
