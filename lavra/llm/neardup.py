@@ -24,7 +24,6 @@ is folded first.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
@@ -197,11 +196,22 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
 
 
 def _pairs(spark: SparkSession, docs: DataFrame, t: Fraction) -> DataFrame:
+    """Each step ends in a written table and gives its shuffle files back, so the disk holds those of one step at a time."""
+    release(spark)
+    candidates = _candidates(docs, t)
+    release(spark)
+    close = _close(docs, candidates, t)
+    release(spark)
+    near = _exact(docs, close, t)
+    release(spark)
+    return near
+
+
+def _candidates(docs: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs of sets that share a block and pass the length and position filters."""
     num, den = t.numerator, t.denominator
-    entry = docs.filter("bits is not null").select(
-        F.col("h1").alias("h"), F.col("n"), F.expr(f"slice(bits, 1, cast(n - ceil(n * {num}L / {den}.0D) + 1 as int))").alias("prefix")
-    )
-    entry = entry.select("h", "n", F.posexplode("prefix").alias("pos", "block"))
+    prefix = F.expr(f"slice(bits, 1, cast(n - ceil(n * {num}L / {den}.0D) + 1 as int))")
+    entry = docs.filter("bits is not null").select(F.col("h1").alias("h"), "n", prefix.alias("prefix")).select("h", "n", F.posexplode("prefix").alias("pos", "block"))
     a, b = entry.alias("a"), entry.alias("b")
     found = a.join(
         b,
@@ -210,16 +220,23 @@ def _pairs(spark: SparkSession, docs: DataFrame, t: Fraction) -> DataFrame:
             f" and least(a.n - a.pos, b.n - b.pos) * {den + num}L >= (a.n + b.n) * {num}L"
         ),
     ).select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
-    candidates = materialize(found.distinct(), "candidates")
-    release(spark)
+    return materialize(found.distinct(), "candidates")
+
 
+def _close(docs: DataFrame, candidates: DataFrame, t: Fraction) -> DataFrame:
+    """Candidates whose folded fingerprints are within the distance."""
+    num, den = t.numerator, t.denominator
     folded = docs.filter("bits is not null").select("h1", "f0", "f1", "f2", "f3").dropDuplicates(["h1"])
     fa = folded.selectExpr("h1 as h_a", "f0 as a0", "f1 as a1", "f2 as a2", "f3 as a3")
     fb = folded.selectExpr("h1 as h_b", "f0 as b0", "f1 as b1", "f2 as b2", "f3 as b3")
     near = "+".join(f"bit_count(a{k} ^ b{k})" for k in range(4))
-    close = candidates.join(fa, "h_a").join(fb, "h_b").filter(f"({near}) * {den + num}L <= (n_a + n_b) * {den - num}L").select("h_a", "h_b", "n_a", "n_b")
-    close = materialize(close, "close")
+    within = candidates.join(fa, "h_a").join(fb, "h_b").filter(f"({near}) * {den + num}L <= (n_a + n_b) * {den - num}L")
+    return materialize(within.select("h_a", "h_b", "n_a", "n_b"), "close")
+
 
+def _exact(docs: DataFrame, close: DataFrame, t: Fraction) -> DataFrame:
+    """Pairs whose whole fingerprints are within the distance."""
+    num, den = t.numerator, t.denominator
     wanted = close.selectExpr("h_a as h1").union(close.selectExpr("h_b as h1")).distinct()
     if close.count() * 2 <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -245,8 +262,3 @@ def near_duplicate_groups(found: NearDuplicates) -> DataFrame:
     labelled = found.members.join(component, "h", "left").withColumn("label", F.coalesce("component", "h"))
     group = labelled.groupBy("label").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
     return labelled.join(group, "label").join(links, "h", "left").select("id", "group_id", "group_size", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-
-
-def expected_prefix(n: int, threshold: float) -> int:
-    """Number of blocks of a record with n shingles."""
-    return n - math.ceil(n * threshold) + 1
