@@ -85,3 +85,31 @@ def encode_lookup(tokens: DataFrame, vocabulary: DataFrame, unknown: int = 3) ->
 def decode(tokens: Column) -> Column:
     """Words of a list of tokens, ended by the end mark."""
     return F.trim(F.regexp_replace(F.array_join(tokens, ""), END, " "))
+
+
+def longest_pieces(word: str, vocabulary: set[str], longest: int, unknown: str = "<UNK>") -> list[str]:
+    """Greedy longest-prefix split of a word; a character outside the vocabulary is unknown."""
+    out, i = [], 0
+    while i < len(word):
+        for n in range(min(longest, len(word) - i), 0, -1):
+            if word[i : i + n] in vocabulary:
+                out.append(word[i : i + n])
+                i += n
+                break
+        else:
+            out.append(unknown)
+            i += 1
+    return out
+
+
+def split_words(counts: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """palavra, n, tokens by the longest known prefixes, once per distinct word."""
+    known = set(vocabulary)
+    longest = max(map(len, known), default=0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [longest_pieces(w, known, longest) for w in b.column("palavra").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("palavra"), b.column("n"), pa.array(done, pa.list_(pa.string()))], ["palavra", "n", "tokens"])
+
+    return map_arrow(counts.select("palavra", F.col("n").cast("long").alias("n")), run, "palavra string, n long, tokens array<string>")

@@ -159,6 +159,26 @@ def functions(files: DataFrame, language: str = "python") -> DataFrame:
     return found.select("id", "linha", "nome", F.coalesce(nxt - F.col("linha") - 1, F.col("__n") - F.col("linha")).cast("long").alias("tamanho"))
 
 
+# Forms of a JavaScript function, the first that fits a line counts.
+JS_FORMS = [r"function\s+(\w+)\s*\([^)]*\)", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\([^)]*\)\s*=>", r"(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?function", r"(\w+)\s*\([^)]*\)\s*\{"]
+
+
+def js_functions(files: DataFrame) -> DataFrame:
+    """id, linha, nome of JavaScript functions."""
+    name = F.coalesce(*[F.nullif(F.regexp_extract("texto", p, 1), F.lit("")) for p in JS_FORMS])
+    return code_lines(files).select("id", "linha", name.alias("nome")).filter("nome is not null")
+
+
+def suggestions(files: DataFrame, language: str = "python") -> DataFrame:
+    """id, sugestao: what the measures of a file call for."""
+    depth = indent_depth(files) if language == "python" else brace_depth(files)
+    longest = functions(files, language).groupBy("id").agg(F.max("tamanho").alias("maior"))
+    base = files.filter("conteudo is not null").select("id", complexity(F.col("conteudo")).alias("cx"))
+    joined = base.join(depth, "id", "left").join(longest, "id", "left")
+    said = F.array_compact(F.array(F.when(F.col("cx") > 20, "complexidade"), F.when(F.col("maior") > 80, "funcoes_longas"), F.when(F.col("profundidade") > 6, "profundidade")))
+    return joined.select("id", F.explode(said).alias("sugestao"))
+
+
 def imports(files: DataFrame) -> DataFrame:
     """id, linha, modulo of Python imports."""
     plain, named = F.regexp_extract("texto", r"^\s*import\s+(.+)", 1), F.regexp_extract("texto", r"^\s*from\s+(\S+)\s+import\s+.+", 1)

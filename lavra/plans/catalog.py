@@ -494,7 +494,7 @@ def ts_format(t: Tables) -> DataFrame:
 # --- text and retrieval ----------------------------------------------------------------------------------------------
 
 
-@query()
+@query(r"select id, trim(regexp_replace(strip_accents(lower(texto)), '\s{2,}', ' ', 'g')) as texto from exemplos")
 def normalize_text(t: Tables) -> DataFrame:
     return t.exemplos.select("id", F.trim(F.regexp_replace(T.fold_column(F.col("texto")), r"\s{2,}", " ")).alias("texto"))
 
@@ -571,7 +571,13 @@ def rag_context(t: Tables) -> DataFrame:
 # --- messages --------------------------------------------------------------------------------------------------------
 
 
-@query()
+@query(
+    "with s as (select id, "
+    + ", ".join("round(" + " + ".join(f"case when regexp_matches(lower(conteudo), '{p}') then {w} else 0.0 end" for p, w in marks) + f", 6) as {name}" for name, marks in intent.INTENTS.items())
+    + f" from historico where conteudo is not null), m as (select *, greatest({', '.join(intent.INTENTS)}) as top from s) select id, case when top <= 0 then 'conversar' "
+    + " ".join(f"when {name} = top then '{name}'" for name in intent.INTENTS)
+    + " end as intencao, cast(round(least(1.0, top / 3.0), 2) as double) as confianca from m"
+)
 def intents(t: Tables) -> DataFrame:
     return intent.intents(t.historico, "id", "conteudo")
 
@@ -581,7 +587,12 @@ def extract_code(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", intent.fenced_code(F.col("text")).alias("codigo"))
 
 
-@query()
+@query("select id, case when conteudo is null then null " + " ".join(f"when regexp_matches(lower(conteudo), '{p}') then '{n}'" for n, p in intent.CLASSES) + " else 'outra' end as classe from historico")
+def reply_class(t: Tables) -> DataFrame:
+    return t.historico.select("id", intent.message_class(F.col("conteudo")).alias("classe"))
+
+
+@query("select id, case " + " ".join(f"when regexp_matches(lower(conteudo), '(^|[^\\p{{L}}\\p{{N}}_]){x}($|[^\\p{{L}}\\p{{N}}_])') then '{x}'" for x in intent.LANGUAGES) + " end as linguagem from historico")
 def language_mention(t: Tables) -> DataFrame:
     return t.historico.select("id", intent.language_mention(F.col("conteudo")).alias("linguagem"))
 
@@ -604,7 +615,20 @@ def prompt(t: Tables) -> DataFrame:
 # --- code ------------------------------------------------------------------------------------------------------------
 
 
-@query()
+LANGUAGE_SQL = (
+    "with e as (select id, conteudo, lower(case when contains(nome_arquivo, '.') then list_last(string_split(nome_arquivo, '.')) end) as ext from contexto_codigo), s as (select id, conteudo, case "
+    + " ".join(f"when ext in ({', '.join(repr(x) for x in exts.split())}) then '{lang}'" for lang, exts in codescan.EXTENSIONS.items())
+    + " end as por_nome, "
+    + ", ".join(" + ".join("len(regexp_extract_all(conteudo, '(?im)" + m.replace("'", "''") + "'))" for m in marks) + f' as "{lang}"' for lang, marks in codescan.MARKS.items())
+    + " from e), m as (select *, greatest("
+    + ", ".join(f'"{x}"' for x in codescan.MARKS)
+    + ") as top from s) select id, coalesce(por_nome, case when conteudo is null then null when top = 0 then 'desconhecida' "
+    + " ".join(f"when \"{x}\" = top then '{x}'" for x in codescan.MARKS)
+    + " end) as linguagem from m"
+)
+
+
+@query(LANGUAGE_SQL)
 def code_language(t: Tables) -> DataFrame:
     return t.contexto_codigo.select("id", codescan.detect_language(F.col("nome_arquivo"), F.col("conteudo")).alias("linguagem"))
 
@@ -689,7 +713,47 @@ def lint_summary(t: Tables) -> DataFrame:
     return codescan.lint_summary(codescan.lint(t.contexto_codigo, codescan.PYTHON_RULES))
 
 
-@query()
+JS_SQL = "coalesce(" + ", ".join(f"nullif(regexp_extract(texto, '{p}', 1), '')" for p in codescan.JS_FORMS) + ")"
+
+
+@query(f"with {LINES_SQL} select id, cast(linha as integer) as linha, {JS_SQL} as nome from l where {JS_SQL} is not null")
+def js_functions(t: Tables) -> DataFrame:
+    return codescan.js_functions(t.contexto_codigo)
+
+
+@query(
+    f"""with p as ({lint_sql(codescan.PYTHON_RULES)}) select id, linha, regra, severidade, row_number() over (partition by id order by severidade desc, linha, regra) as ordem from p"""
+)
+def lint_rows(t: Tables) -> DataFrame:
+    """Problems of each file, the worst first."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("id").orderBy(F.col("severidade").desc(), "linha", "regra")
+    return codescan.lint(t.contexto_codigo, codescan.PYTHON_RULES).withColumn("ordem", F.row_number().over(w).cast("long"))
+
+
+COMPLEXITY_SQL = "cast(1" + "".join(f" + len(regexp_extract_all(conteudo, '{p}'))" for p in codescan.DECISIONS) + " as bigint)"
+MEASURES_SQL = (
+    f"{FUNCTIONS_SQL}, lo as (select id, max(tamanho) as maior from (select id, coalesce(lead(linha) over (partition by id order by linha) - linha - 1, total - linha) as tamanho from g join n using (id)) group by id), "
+    r"de as (select id, max((length(texto) - length(regexp_replace(texto, '^\s+', ''))) // 4) as profundidade from l where trim(texto) <> '' group by id), "
+    f"cx as (select id, {COMPLEXITY_SQL} as cx from contexto_codigo where conteudo is not null)"
+)
+
+
+@query(
+    f"""with {MEASURES_SQL}, m as (select cx.id, cx, coalesce(maior, 0) as maior, coalesce(profundidade, 0) as profundidade from cx left join lo using (id) left join de using (id))
+    select id, 'complexidade' as sugestao from m where cx > 20 union all select id, 'funcoes_longas' from m where maior > 80 union all select id, 'profundidade' from m where profundidade > 6"""
+)
+def suggestions(t: Tables) -> DataFrame:
+    return codescan.suggestions(t.contexto_codigo)
+
+
+@query(
+    f"""with {MEASURES_SQL}, w as (select id, count(*) filter (where severidade >= 4) as s4, count(*) filter (where severidade = 3) as s3, count(*) filter (where severidade <= 2) as s2
+    from ({lint_sql(codescan.PYTHON_RULES)}) group by id)
+    select cx.id, round(greatest(0.0::double, least(10.0::double, 10 - 2.0::double * coalesce(s4, 0) - 0.5::double * coalesce(s3, 0) - 0.1::double * coalesce(s2, 0) - 0.05::double * greatest(0, cx - 10)
+    - 0.3::double * greatest(0, coalesce(profundidade, 0) - 5) - case when coalesce(maior, 0) > 100 then 1 else 0 end)), 6) as score from cx left join w using (id) left join de using (id) left join lo using (id)"""
+)
 def quality_score(t: Tables) -> DataFrame:
     return codescan.quality_score(t.contexto_codigo, codescan.lint(t.contexto_codigo, codescan.PYTHON_RULES))
 
@@ -719,6 +783,52 @@ def fix_js_var(t: Tables) -> DataFrame:
     return t.contexto_codigo.select("id", rewrite.fix_var(F.col("conteudo")).alias("conteudo"))
 
 
+@query(
+    r"""select id, array_to_string(list_transform(string_split(conteudo, chr(10)), lambda x: case when regexp_matches(x, '^\s*(const|let|var|return|throw)\s+') and not regexp_matches(x, '([;{,(\[]|//|\*/)\s*$')
+    then regexp_replace(x, '\s+$', '') || ';' else x end), chr(10)) as conteudo from contexto_codigo"""
+)
+def fix_semicolons(t: Tables) -> DataFrame:
+    return t.contexto_codigo.select("id", rewrite.add_semicolons(F.col("conteudo")).alias("conteudo"))
+
+
+@query(r"select id, regexp_replace(conteudo, '(?m)^([ \t]*)(console\.(?:log|debug|warn)\s*\([^)\n]*\);?)', '\1// \2', 'g') as conteudo from contexto_codigo")
+def fix_console(t: Tables) -> DataFrame:
+    return t.contexto_codigo.select("id", rewrite.comment_console(F.col("conteudo")).alias("conteudo"))
+
+
+@query()
+def fix_long_comments(t: Tables) -> DataFrame:
+    return rewrite.wrap_comments(t.contexto_codigo)
+
+
+@query()
+def fix_var_const(t: Tables) -> DataFrame:
+    return rewrite.var_to_const(t.contexto_codigo)
+
+
+@query()
+def fix_docstrings(t: Tables) -> DataFrame:
+    return rewrite.add_docstrings(t.contexto_codigo)
+
+
+@query()
+def fix_import_order(t: Tables) -> DataFrame:
+    return rewrite.organise_imports(t.contexto_codigo)
+
+
+@query()
+def refactor_delta(t: Tables) -> DataFrame:
+    done = t.contexto_codigo.select("id", rewrite.fix_blank_lines(rewrite.fix_comparisons(F.col("conteudo"))).alias("conteudo"))
+    return rewrite.changed(t.contexto_codigo, done)
+
+
+@query()
+def subword_split(t: Tables) -> DataFrame:
+    counts = bpe.word_counts(t.documents, "text")
+    known = sorted({a.replace(bpe.END, "") + b.replace(bpe.END, "") for a, b in MERGES} | set("abcdefghijklmnopqrstuvwxyz"))
+    return bpe.token_frequency(bpe.split_words(counts, known))
+
+
 @query()
 def fix_credentials(t: Tables) -> DataFrame:
     return t.contexto_codigo.select("id", rewrite.credentials_to_environment(F.col("conteudo")).alias("conteudo"))
@@ -857,7 +967,11 @@ def image_class(t: Tables) -> DataFrame:
     return s.select("event_id", images.orientation(F.col("w"), F.col("h")).alias("orientacao"), images.megapixels(F.col("w"), F.col("h")).alias("mp"), images.resized(F.col("w"), F.col("h")).largura.cast("long").alias("largura"))
 
 
-@query()
+@query(
+    """with s as (select event_id, 1 + event_id * 31 % 5000 as w, 1 + event_id * 17 % 5000 as h from events),
+    r as (select *, w / h as q from s), d as (select *, least(abs(q - 1.0), abs(q - 1.33), abs(q - 1.5), abs(q - 1.78), abs(q - 2.39)) as d from r)
+    select event_id, case when d >= 0.15 then w || '×' || h when abs(q - 1.0) = d then '1:1' when abs(q - 1.33) = d then '4:3' when abs(q - 1.5) = d then '3:2' when abs(q - 1.78) = d then '16:9' else '21:9' end as proporcao from d"""
+)
 def aspect_ratio(t: Tables) -> DataFrame:
     s = t.events.select("event_id", (1 + F.col("event_id") * 31 % 5000).alias("w"), (1 + F.col("event_id") * 17 % 5000).alias("h"))
     return s.select("event_id", images.aspect_ratio(F.col("w"), F.col("h")).alias("proporcao"))
