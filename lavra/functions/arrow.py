@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -37,9 +36,3 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def lists(values: pa.Array, offsets) -> pa.Array:
     """A list column from flat values and row offsets."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished, no longer referenced queries now, not at some later collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

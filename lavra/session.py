@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside give their shuffle files back at once, since their results are kept elsewhere."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df to the shared folder and return a scan of it, which cuts the lineage and keeps column pruning.
 
@@ -52,5 +71,6 @@ def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    with tidy(spark):
+        writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
