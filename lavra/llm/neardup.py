@@ -30,13 +30,13 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions import codepoints as cp
-from lavra.functions.arrow import SMALL_PIECE, map_arrow, release
+from lavra.functions.arrow import SMALL_PIECE, map_arrow
 from lavra.llm.shingles import shingle_hashes, word_hashes
-from lavra.session import materialize
+from lavra.session import materialize, tidy
 
 HASH_BITS = 40
 SLOT_BITS = 21
@@ -87,7 +87,9 @@ def shingle_levels(texts: DataFrame, words: int, min_words: int) -> np.ndarray:
 
     counted = map_arrow(texts.select("text"), count, "block int, counts binary")
     out = np.zeros(1 << SLOT_BITS, np.uint8)
-    for block, level in map_arrow(counted.repartition("block"), total, "block int, level binary").collect():
+    with tidy(texts.sparkSession):
+        levels = map_arrow(counted.repartition("block"), total, "block int, level binary").collect()
+    for block, level in levels:
         out[block * BLOCK_SLOTS : (block + 1) * BLOCK_SLOTS] = np.frombuffer(bytes(level), np.uint8)
     return out
 
@@ -192,19 +194,12 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     levels = spark.sparkContext.broadcast(shingle_levels(texts, words, least))
     docs = materialize(fingerprints(texts, levels, words, least), "fingerprints")
     members = docs.select("id", F.col("h1").alias("h")).distinct()
-    return NearDuplicates(_pairs(spark, docs, t), members)
-
-
-def _pairs(spark: SparkSession, docs: DataFrame, t: Fraction) -> DataFrame:
-    """Each step ends in a written table and gives its shuffle files back, so the disk holds those of one step at a time."""
-    release(spark)
-    candidates = _candidates(docs, t)
-    release(spark)
-    close = _close(docs, candidates, t)
-    release(spark)
-    near = _exact(docs, close, t)
-    release(spark)
-    return near
+    return NearDuplicates(_pairs(docs, t), members)
+
+
+def _pairs(docs: DataFrame, t: Fraction) -> DataFrame:
+    """Each step ends in a written table, so the disk holds the shuffle files of one step at a time."""
+    return _exact(docs, _close(docs, _candidates(docs, t), t), t)
 
 
 def _candidates(docs: DataFrame, t: Fraction) -> DataFrame:
