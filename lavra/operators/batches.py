@@ -17,10 +17,9 @@ def page_shuffle(pages: DataFrame, seed: int, epoch: int) -> DataFrame:
 
 
 def global_shuffle(corpus: DataFrame, seed: int, epoch: int) -> DataFrame:
-    """posicao in a permutation of all rows by hash: range slices of the hash are ranked apart and added up."""
-    key = F.pmod(F.xxhash64(F.col("id"), F.lit(seed + 997 * epoch)), F.lit(1 << 40))
-    spread = corpus.withColumn("__key", key * (1 << 20) + F.pmod(F.col("id"), F.lit(1 << 20)))
-    return ranked(spread, "__key", "posicao").drop("__key")
+    """posicao in a permutation of all rows by hash, another one each epoch."""
+    spread = corpus.withColumn("__key", F.xxhash64(F.col("id"), F.lit(seed + 997 * epoch)))
+    return ranked(spread, ["__key", "id"], "posicao").drop("__key")
 
 
 def batch_numbers(pages: DataFrame, batch: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lavra.functions import text as T
+from lavra.session import materialize
 
 
 def pending_in_category(corpus: DataFrame, category: str) -> DataFrame:
@@ -129,18 +130,17 @@ def first_paragraphs(df: DataFrame, id_col: str, text_col: str, longer_than: int
 
 
 def pages(corpus: DataFrame, size: int) -> DataFrame:
-    """pagina of each row in id order. Ranks come from counts of id ranges, not from one global window."""
-    return ranked(corpus, "id").withColumn("pagina", F.expr(f"cast((rank - 1) div {size} as long)"))
-
-
-def ranked(df: DataFrame, order: str, name: str = "rank", slices: int = 1024) -> DataFrame:
-    """Row number by a unique integer column: windows inside equal id slices plus the rows of the slices before."""
-    low, high = df.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    width = max(1, -(-(int(high) - int(low) + 1) // slices))
-    cut = df.withColumn("__slice", F.expr(f"({order} - {int(low)}) div {width}"))
-    sizes = cut.groupBy("__slice").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)))
-    inner = F.row_number().over(Window.partitionBy("__slice").orderBy(order))
-    return cut.join(F.broadcast(before.select("__slice", "__before")), "__slice").withColumn(name, inner + F.coalesce("__before", F.lit(0))).drop("__slice", "__before")
+    """pagina of each row in id order."""
+    return ranked(corpus, ["id"]).withColumn("pagina", F.expr(f"cast((rank - 1) div {size} as long)"))
+
+
+def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """Row number by `order`, which must be total. Rows are range-partitioned and sorted; a row's place in its partition and
+    the sizes of the partitions before (one number each) give its rank, so no window holds more than those sizes."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = materialize(placed, "ranked").withColumn("__part", F.shiftright("__at", 33))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("__part", before.alias("__before")))
+    row = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(starts, "__part").withColumn(name, F.col("__before") + row + 1).drop("__at", "__part", "__before")

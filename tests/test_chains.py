@@ -59,5 +59,5 @@ def test_components_against_union_find(spark):
 
 def test_ranks_without_a_global_window(spark):
     ids = sorted(random.Random(2).sample(range(-50, 10_000), 500))
-    got = [(r.id, r.rank) for r in ranked(spark.createDataFrame([(i,) for i in ids], "id long"), "id", slices=7).orderBy("id").collect()]
+    got = [(r.id, r.rank) for r in ranked(spark.createDataFrame([(i,) for i in ids], "id long").repartition(5), ["id"]).orderBy("id").collect()]
     assert got == [(i, k + 1) for k, i in enumerate(ids)]
