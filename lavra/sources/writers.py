@@ -44,3 +44,16 @@ def append_new(spark: SparkSession, new: DataFrame, path: str) -> tuple[int, int
     added, total = fresh.count(), given.count()
     fresh.select("id", "texto", "fonte", "categoria", "adicionado", "usado_treino").write.mode("append").parquet(path)
     return added, total - added
+
+
+def replace_corpus(spark: SparkSession, corpus: DataFrame, path: str) -> None:
+    """Put corpus, which may read path, in place of what is at path: written beside it, then renamed."""
+    beside, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    corpus.write.mode("overwrite").parquet(beside)
+    fs.delete(Path(old), True)
+    if fs.exists(Path(path)):
+        fs.rename(Path(path), Path(old))
+    fs.rename(Path(beside), Path(path))
+    fs.delete(Path(old), True)

@@ -75,3 +75,32 @@ def test_stream_equals_batch(spark, tmp_path):
         got = texts(read_batches(spark, str(tmp_path / "out")))
     batch = corpus.stripped(spark.createDataFrame(rows, "texto string, fonte string, categoria string"), 5, 50_000)
     assert got == sorted({r.texto for r in batch.collect()})
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lavra.__main__ import main
+
+    (tmp_path / "a.txt").write_text("um\ndois\num\n")
+    at = ["--corpus", str(tmp_path / "corpus")]
+    main([*at, "add", str(tmp_path / "a.txt"), "texto solto"], spark)
+    assert "added 3, already there 1" in capsys.readouterr().out
+    main([*at, "mark", "--categoria", "geral"], spark)
+    main([*at, "remove", "--fonte", "LINHA_DE"], spark)
+    main([*at, "status"], spark)
+    main([*at, "search", "DO"], spark)
+    assert "dois" in capsys.readouterr().out
+    assert [(r.texto, r.usado_treino) for r in writers.read_corpus(spark, at[1]).orderBy("texto").collect()] == [("dois", 1), ("um", 1)]
+    main([*at, "export", str(tmp_path / "out")], spark)
+    assert texts(spark.read.json(str(tmp_path / "out"))) == ["dois", "um"]
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    from lavra.streaming.ingest import counts_stream
+
+    spark.createDataFrame([("2025-01-01 00:01:00", "a"), ("2025-01-01 00:02:00", "a"), ("2025-01-01 00:09:00", "b")], "t string, categoria string").selectExpr(
+        "cast(t as timestamp) as adicionado", "categoria"
+    ).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("adicionado timestamp, categoria string").parquet(str(tmp_path / "in"))
+    query = counts_stream(stream).writeStream.outputMode("complete").format("memory").queryName("counted").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r.categoria, r.n) for r in spark.sql("select * from counted").collect()) == [("a", 2), ("b", 1)]
