@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lavra.functions.arrow import map_arrow
 from lavra.functions import codepoints as cp
@@ -108,6 +109,7 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
     doc_type = texts.schema["doc_id"].dataType.simpleString()
     tests = items.select(F.col(item_id).alias("item_id"), F.col(item_text).cast("string").alias("text")).filter("text is not null")
     item_type = tests.schema["item_id"].dataType
+    item_kind = to_arrow_type(item_type)
     schema = f"doc_id {doc_type}, item_id {item_type.simpleString()}, doc_word int, item_word int, n_words int"
 
     def search(block) -> DataFrame:
@@ -124,7 +126,7 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
                     best = np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])
                     doc, item, a, b, n = (x[best] for x in (doc, item, a, b, n))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(doc + off)), pa.array([names[i] for i in item.tolist()], pa.from_numpy_dtype(np.int64) if item_type.typeName() == "long" else None)]
+                        [batch.column("doc_id").take(pa.array(doc + off)), pa.array([names[i] for i in item.tolist()], item_kind)]
                         + [pa.array((x + k).astype(np.int32)) for x, k in ((a, 1), (b, 1), (n, 0))],
                         ["doc_id", "item_id", "doc_word", "item_word", "n_words"],
                     )
