@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,11 +41,14 @@ def shared_dir(spark: SparkSession) -> str:
             return have
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = f"file://{tempfile.mkdtemp(prefix='lavra-')}"
+        folder = tempfile.mkdtemp(prefix="lavra-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        at = f"file://{folder}"
         context.setCheckpointDir(at)
     return at
 
 
+_written: list[str] = []
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -64,13 +69,22 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df to the shared folder and return a scan of it, which cuts the lineage and keeps column pruning.
 
-    The files last as long as the shared folder; a lost executor costs no recomputation.
+    The files last until drop_materialized, or as long as the shared folder; a lost executor costs no recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lavra/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    _written.append(path)
     with tidy(spark):
         writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete the tables materialize has written so far; frames that read them are of no use then."""
+    conf, paths = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    while _written:
+        at = paths(_written.pop())
+        at.getFileSystem(conf).delete(at, True)
