@@ -11,7 +11,9 @@ bits, so each of those is a block. The order puts rare shingles first, which kee
 2. One scan writes per record the size, two hashes of the whole set, a 256-bit folded fingerprint and the ordered bits.
    A task keeps the bits of a repeated set once, so a group of copies adds no more block entries than there are tasks.
 3. Blocks are joined on (shuffled, sort-merged, split by AQE if skewed). Length and position filters drop pairs that
-   cannot reach t.
+   cannot reach t. A block of more than BLOCK_ROWS records is split by a second bit: a pair whose first shared bit it is
+   must share another one among its first |A| - ceil(t|A|) + 2. So a bit that ever more records have, as the collection
+   grows, makes no ever larger block. Which blocks are large is counted exactly, where step 1 leaves it open.
 4. The Hamming distance of the folded fingerprints never exceeds the true one and drops most of the rest; the distance of
    the whole fingerprints decides.
 
@@ -45,6 +47,8 @@ FOLD_BITS = 256
 ROWS = 1 << 14
 #: Ids kept in memory by a broadcast filter, at most; above, the same filter is a shuffled join.
 BROADCAST_IDS = 1_000_000
+#: Records of a block, at most, that meet by one shared bit; in larger blocks two shared bits are asked for.
+BLOCK_ROWS = 256
 
 
 def _batches(batches: Iterator[pa.RecordBatch], words: int, min_words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -94,8 +98,12 @@ def shingle_levels(texts: DataFrame, words: int, min_words: int) -> np.ndarray:
     return out
 
 
-def fingerprints(texts: DataFrame, levels, words: int, min_words: int) -> DataFrame:
-    """Per record: id, n, set hash, folded fingerprint, and the ordered bits (null for a set this task has seen)."""
+def fingerprints(texts: DataFrame, levels, words: int, min_words: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Per record: id, n, set hash, folded fingerprint, and the ordered bits (null for a set this task has seen).
+
+    rare is the number of leading bits that no more than block_rows records can have.
+    """
+    common = np.uint64(int(np.rint(2 * np.log2(1 + block_rows))))
     mask = np.uint64((1 << HASH_BITS) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,6 +115,7 @@ def fingerprints(texts: DataFrame, levels, words: int, min_words: int) -> DataFr
             rank = level[(x >> np.uint64(HASH_BITS - SLOT_BITS)).astype(np.int64)].astype(np.uint64)
             key = np.unique((d.astype(np.uint64) << np.uint64(HASH_BITS + 6)) | (rank << np.uint64(HASH_BITS)) | x)
             d = (key >> np.uint64(HASH_BITS + 6)).astype(np.int64)
+            few = ((key >> np.uint64(HASH_BITS)) & np.uint64(63)) < common
             x = key & mask
             rows, first, n = np.unique(d, return_index=True, return_counts=True)
             with np.errstate(over="ignore"):
@@ -130,12 +139,12 @@ def fingerprints(texts: DataFrame, levels, words: int, min_words: int) -> DataFr
             yield pa.RecordBatch.from_arrays(
                 [part.column("id").take(pa.array(rows)), pa.array(n.astype(np.int32)), pa.array(h1), pa.array(h2)]
                 + [pa.array(np.ascontiguousarray(folded[:, k])) for k in range(4)]
-                + [tokens],
-                ["id", "n", "h1", "h2", "f0", "f1", "f2", "f3", "bits"],
+                + [pa.array(np.add.reduceat(few, first, dtype=np.int64).astype(np.int32)), tokens],
+                ["id", "n", "h1", "h2", "f0", "f1", "f2", "f3", "rare", "bits"],
             )
 
     id_type = texts.schema["id"].dataType.simpleString()
-    return map_arrow(texts, run, f"id {id_type}, n int, h1 long, h2 long, f0 long, f1 long, f2 long, f3 long, bits array<long>")
+    return map_arrow(texts, run, f"id {id_type}, n int, h1 long, h2 long, f0 long, f1 long, f2 long, f3 long, rare int, bits array<long>")
 
 
 @dataclass
@@ -183,7 +192,7 @@ def expand_classes(pairs: DataFrame, members: DataFrame, key: str, largest: int,
     return between.unionByName(within).unionByName(star)
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, min_words: int | None = None) -> NearDuplicates:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, threshold: float = 0.8, min_words: int | None = None, block_rows: int = BLOCK_ROWS) -> NearDuplicates:
     """Pairs of near-duplicate classes and the members of each class; see the module's text."""
     spark = df.sparkSession
     t = Fraction(threshold).limit_denominator(1000)
@@ -192,30 +201,47 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     least = max(min_words or words, words)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= 2 * least - 1))
     levels = spark.sparkContext.broadcast(shingle_levels(texts, words, least))
-    docs = materialize(fingerprints(texts, levels, words, least), "fingerprints")
+    docs = materialize(fingerprints(texts, levels, words, least, block_rows), "fingerprints")
     members = docs.select("id", F.col("h1").alias("h")).distinct()
-    return NearDuplicates(_pairs(docs, t), members)
+    return NearDuplicates(_pairs(docs, t, block_rows), members)
 
 
-def _pairs(docs: DataFrame, t: Fraction) -> DataFrame:
+def _pairs(docs: DataFrame, t: Fraction, block_rows: int) -> DataFrame:
     """Each step ends in a written table, so the disk holds the shuffle files of one step at a time."""
-    return _exact(docs, _close(docs, _candidates(docs, t), t), t)
+    return _exact(docs, _close(docs, _candidates(docs, t, block_rows), t), t)
 
 
-def _candidates(docs: DataFrame, t: Fraction) -> DataFrame:
+def _candidates(docs: DataFrame, t: Fraction, block_rows: int) -> DataFrame:
     """Pairs of sets that share a block and pass the length and position filters."""
     num, den = t.numerator, t.denominator
-    prefix = F.expr(f"slice(bits, 1, cast(n - ceil(n * {num}L / {den}.0D) + 1 as int))")
-    entry = docs.filter("bits is not null").select(F.col("h1").alias("h"), "n", prefix.alias("prefix")).select("h", "n", F.posexplode("prefix").alias("pos", "block"))
-    a, b = entry.alias("a"), entry.alias("b")
-    found = a.join(
-        b,
-        F.expr(
-            f"a.block = b.block and a.h < b.h and a.n * {den}L >= b.n * {num}L and b.n * {den}L >= a.n * {num}L"
-            f" and least(a.n - a.pos, b.n - b.pos) * {den + num}L >= (a.n + b.n) * {num}L"
-        ),
-    ).select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
-    return materialize(found.distinct(), "candidates")
+    least = f"ceil(n * {num}L / {den}.0D)"
+    sets = docs.filter("bits is not null").select(F.col("h1").alias("h"), "n", "rare", "bits")
+    entry = sets.withColumn("prefix", F.expr(f"slice(bits, 1, cast(n - {least} + 1 as int))")).select("h", "n", "rare", F.posexplode("prefix").alias("pos", "block"))
+
+    def meet(e: DataFrame, before: int) -> DataFrame:
+        """Pairs of entries of a block; before: bits they share before the one at pos."""
+        a, b = e.alias("a"), e.alias("b")
+        return a.join(
+            b,
+            F.expr(
+                f"a.block = b.block and a.h < b.h and a.n * {den}L >= b.n * {num}L and b.n * {den}L >= a.n * {num}L"
+                f" and (least(a.n - a.pos, b.n - b.pos) + {before}) * {den + num}L >= (a.n + b.n) * {num}L"
+            ),
+        ).select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+
+    # A set that may share one bit only with a near one is never asked for two.
+    open_ = f"pos >= rare and {least} > 1"
+    large = materialize(entry.filter(open_).groupBy("block").count().filter(F.col("count") > block_rows).select("block"), "large-blocks")
+    count = large.count()
+    if not count:
+        return materialize(meet(entry.drop("rare"), 0).distinct(), "candidates")
+    large = F.broadcast(large) if count <= BROADCAST_IDS else large
+    single = entry.filter(f"not ({open_})").unionByName(entry.filter(open_).join(large, "block", "left_anti").select("h", "n", "rare", "pos", "block")).drop("rare")
+    first = entry.filter(open_).join(large, "block", "left_semi").select("h", F.struct("pos", "block").alias("x"))
+    second = F.expr(f"slice(bits, x.pos + 2, cast(n - {least} + 1 as int) - x.pos)")
+    each = first.join(sets, "h").select("h", "n", "x", F.posexplode(second).alias("k", "y"))
+    double = each.select("h", "n", F.expr("x.pos + 1 + k").alias("pos"), F.xxhash64("x.block", "y").alias("block"))
+    return materialize(meet(single, 0).unionByName(meet(double, 1)).distinct(), "candidates")
 
 
 def _close(docs: DataFrame, candidates: DataFrame, t: Fraction) -> DataFrame:

@@ -54,6 +54,8 @@ def test_near_duplicates_equal_brute_force(spark, size, threshold, least):
     found = neardup.near_duplicates(df, "id", "texto", size, threshold, least)
     got = [tuple(r) for r in found.expanded_pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == expected
+    split = neardup.near_duplicates(df, "id", "texto", size, threshold, least, block_rows=2)
+    assert {tuple(r) for r in split.expanded_pairs().collect()} == expected
     star = {tuple(r) for r in found.expanded_pairs(largest_class=5).collect()}
     copies = {}
     for i in sets:
