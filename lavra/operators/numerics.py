@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +17,21 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(v: Column, temperature: float = 1.0) -> Column:
     """Probabilities of an array of logits, shifted by its maximum."""
-    d = F.transform(v, lambda x: x.cast("double") / temperature)
-    top = F.array_max(d)
-    e = F.transform(d, lambda x: F.exp(x - top))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(e, lambda x: x / total)
+
+    def share(e: Column) -> Column:
+        return _let(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), lambda total: F.transform(e, lambda x: x / total))
+
+    def powers(d: Column) -> Column:
+        return _let(F.array_max(d), lambda top: _let(F.transform(d, lambda x: F.exp(x - top)), share))
+
+    return _let(F.transform(v, lambda x: x.cast("double") / temperature), powers)
 
 
 def repetition_penalty(logits: DataFrame, seen: Column, penalty: float) -> DataFrame:
