@@ -1,7 +1,7 @@
 """Credentials written into source code and configuration files.
 
-`scan` reads one file as key paths with the place of each value (JSON, YAML, INI, dotenv, properties, XML and assignments,
-object fields and arguments in code), tests key names and value shapes, and adds what needs no key: provider tokens, signed
+`scan` reads one file as key paths with the place of each value (`keypaths`: JSON, YAML, INI, TOML, dotenv, properties, XML), tests every
+name on the path, and the own names of assignments, object fields and arguments in code; it tests value shapes, and adds what needs no key: provider tokens, signed
 tokens, private keys, credentials in URLs, headers, commands, connection strings and comments. `redact` splices a mark over
 each value in the original bytes, so quotes, indentation, line ends and line numbers stay.
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions.arrow import map_arrow
+from lavra.llm.keypaths import GENERIC, leaves
 
 MARK = "REDACTED"
 
@@ -46,6 +47,18 @@ HARMLESS = set(
     "attempts tentativas column coluna"
     ).split()
 )
+# Names that hold credentials only as the name of a section or list, and names beside the credentials of a section.
+SECTIONS = set("secrets segredos senhas passwords passwds pwds passphrases passcodes credentials credenciais tokens apikeys authtokens apitokens accesskeys secretkeys privatekeys".split())
+SECTION_PAIRS = {(a, b + "s") for a, b in SENSITIVE_PAIRS if b == "key"} | {("chaves", b) for a, b in SENSITIVE_PAIRS if a == "chave"} | {("chaves", "privadas"), ("chaves", "secretas")}
+BESIDE = HARMLESS - {"tokens"} | set(
+    (
+        "user users username usuario usuarios login email mail host hostname server servidor port porta region regiao zone provider issuer audience scope scopes realm algorithm algoritmo alg cipher "
+        "encoding iterations rounds timeout lifetime duration duracao validade expiration version versao description descricao source target external driver engine backend store ref refs kind class "
+        "mode metodo method created updated status state environment ambiente owner comment comentario"
+    ).split()
+)
+# Values that are no credential unless their own name says so: short numbers, spans of time, versions, dates, hosts, addresses.
+PLAIN = re.compile(r"\d{1,5}[A-Za-z]{0,3}|v?\d+(?:\.\d+)+\S{0,8}|\d{4}-\d\d-\d\d\S*|(?:[a-z][a-z0-9-]*|[0-9-]+)(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?::\d+)?|[^@\s]+@[\w-]+(?:\.[\w-]+)+|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 FILL_IN = re.compile(
     r"(?i)^(?:change[-_ ]?(?:me|it|this)|troque.*|trocar.*|todo|tbd|fixme|insira.*|coloque.*|preencha.*|sua?[-_].*|seu[-_].*|your[-_ ]?.*|my[-_](?:password|secret|token|key).*|"
     r"<.*>|\[.*\]|.*_here|.*-here|.*aqui|example.*|exemplo.*|placeholder.*|dummy.*|fake.*|none|null|nil|undefined|true|false|sim|nao|não|yes|no|on|off|"
@@ -92,7 +105,6 @@ GENERIC_KEY = re.compile(r"(?i)[\"']?\b(?:value|valor|default|data|conteudo|cont
 ENDING = re.compile(r"(?:senha|password|passwd|secret|segredo|token|credencial|apikey|authtoken)$")
 MYSQL = re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;&]*?\s-p([^\s\"'-][^\s\"']*)")
 CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-zà-ÿ]+|[A-Z]+|\d+")
-GENERIC = {"value", "valor", "default", "data", "conteudo", "content", "stringdata"}
 CONFIG_LINE = re.compile(r"^\s*(?:[#;].*|\[[^\]]*\]|---|(?:-\s+)?(?:export\s+|ENV\s+|ARG\s+|RUN\s+|FROM\s+|LABEL\s+)?[\"']?[A-Za-z_][\w./ -]*[\"']?\s*(?::|=)\s*[^(){};]*|-\s+\S.*|(?:RUN|FROM|CMD|COPY|WORKDIR|EXPOSE|ENV)\b.*)$")
 
 
@@ -136,6 +148,28 @@ def literal_value(value: str, least: int = 4) -> bool:
     return "://" not in v
 
 
+def sensitive_path(path: tuple[str, ...], value: str) -> bool:
+    """Whether a value is a credential by any name on its path: its own, or that of a section or list it stands in, unless a name between says otherwise."""
+    names = [p for p in path if not p.isdigit() and p.lower() not in GENERIC]
+    if not names:
+        return False
+    if sensitive_key(names[-1]):
+        return literal_value(value)
+    if not literal_value(value) or PLAIN.fullmatch(value) or (sensitive_key(value) and re.fullmatch(r"[A-Za-z_.-]+(?:v?\d{1,2})?", value)):
+        return False
+    own = path[-1] == names[-1]
+    for name in reversed(names):
+        words = key_words(name)
+        if any(w in BESIDE for w in words):
+            return False
+        if any(w in SECTIONS for w in words) or any(p in SECTION_PAIRS for p in zip(words, words[1:])):
+            return not own or (_mixed(value) and not value.isdigit())
+        if sensitive_key(name):
+            return _mixed(value)
+        own = False
+    return False
+
+
 def _config_like(lines: list[str]) -> bool:
     ink = [x for x in lines if x.strip()]
     return bool(ink) and sum(bool(CONFIG_LINE.match(x)) for x in ink) >= 0.7 * len(ink)
@@ -181,7 +215,19 @@ def scan(text: str | None) -> list[Finding]:
         g = 1 if m.group(1) else 2
         if literal_value(m.group(g)):
             add(*m.span(g), "connection_string")
+    # Every word that makes a name sensitive holds a hint: without one in the whole file no path can be sensitive.
+    for leaf in leaves(text) if HINT.search(text) else []:
+        values = [(text[s:e], s, e) for s, e in leaf.spans]
+        first = True
+        for value, s, e in values:
+            if sensitive_path(leaf.path, value):
+                if first:
+                    first = not add(s, e, "number" if leaf.needs_quotes else "assignment", ".".join(leaf.path))
+                elif not any(a < e and s < b for a, b in taken):
+                    taken.append((s, e))
+                    out.append(Finding(0, s, e, "continued", ".".join(leaf.path)))
     starts = {_key_start(text, m.start()) for m in HINT.finditer(text)} | {m.start() for m in GENERIC_KEY.finditer(text)}
+    outer = _Outer(text)
     passed = 0
     for place in sorted(starts):
         m = ASSIGN.match(text, place) if place >= passed else None
@@ -189,7 +235,7 @@ def scan(text: str | None) -> list[Finding]:
             continue
         passed = m.end("key")
         key = m.group("key").strip("\"'`[]$@: ")
-        if sensitive_key(key) or (key.lower() in GENERIC and sensitive_key(_parent(text, m.start()))):
+        if sensitive_key(key) or (key.lower() in GENERIC and sensitive_path((*outer.at(m.start()), key), m.group("value"))):
             value = m.group("value")
             spans = [m.span("value")]
             at = m.end()
@@ -227,7 +273,7 @@ def scan(text: str | None) -> list[Finding]:
     stack: list[tuple[int, str]] = []
     for line in lines:
         body = line.rstrip("\r")
-        if not HINT.search(body) and " -" not in body:
+        if not HINT.search(body) and " -" not in body:  # each rule below needs one of them; `leaves` covers values under a path
             if config and body.strip():
                 _nest(stack, body)
             at += len(line) + 1
@@ -300,12 +346,49 @@ def _mixed(v: str) -> bool:
     return bool(re.search(r"\d", v)) or bool(re.search(r"[^\w.,:/-]", v)) or v.count("-") >= 2 or bool(re.search(r"[a-z][A-Z]", v))
 
 
-def _parent(text: str, at: int) -> str:
-    """Key that opens the block around a place."""
-    m = None
-    for m in re.finditer(r"[\"']?([A-Za-z_][\w.-]*)[\"']?\s*:\s*(?:\{|$)|<([A-Za-z_][\w.-]*)>", text[max(0, at - 300) : at], re.M):
-        pass
-    return (m.group(1) or m.group(2) or "") if m else ""
+class _Outer:
+    """Names of the blocks around places asked for in order: braces, and indented blocks under a line that ends in a colon."""
+
+    TOKEN = re.compile(r"(?P<string>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|[{}]|\n(?P<indent>[ \t]*)(?=[^\s])|(?P<colon>:[ \t]*\r?(?=\n))|<(?P<close>/?)(?P<tag>[A-Za-z_][\w.-]*)>")
+    NAME = re.compile(r"(?:[\"']?([A-Za-z_][\w.-]*)[\"']?\s*(?:=>|[:=])|[\"']([A-Za-z_][\w.-]*)[\"'])\s*$")
+
+    def __init__(self, text: str) -> None:
+        self.text, self.passed, self.deep = text, 0, 0
+        self.tokens = self.TOKEN.finditer(text)
+        self.waiting = None
+        self.closed = set(re.findall(r"</([\w.-]+)>", text))
+        self.stack: list[tuple[str, int, str]] = []  # kind, indentation, name
+
+    def at(self, place: int) -> list[str]:
+        while (m := self.waiting or next(self.tokens, None)) and m.start() < place:
+            self.waiting = None
+            self._take(m)
+        self.waiting = m
+        return [name for _, _, name in self.stack if name]
+
+    def _take(self, m: re.Match) -> None:
+        kind = m.group()[:1]
+        if m.group("string"):
+            return
+        if kind == "\n":
+            self.deep = len(m.group("indent"))
+            while self.stack and self.stack[-1][0] == ":" and self.stack[-1][1] >= self.deep:
+                self.stack.pop()
+        elif kind == "}":
+            for i in range(len(self.stack) - 1, -1, -1):
+                if self.stack[i][0] == "{":
+                    del self.stack[i:]
+                    break
+        elif m.group("tag"):
+            if not m.group("close") and m.group("tag") in self.closed:
+                self.stack.append(("<", 0, m.group("tag")))
+            elif any(k == "<" and n == m.group("tag") for k, _, n in self.stack):
+                while self.stack.pop()[2] != m.group("tag"):
+                    pass
+        else:
+            end = m.start() + (kind == ":")
+            name = self.NAME.search(self.text[max(0, end - 200) : end].rpartition("\n")[2])
+            self.stack.append((kind, self.deep, (name.group(1) or name.group(2)) if name else ""))
 
 
 def redact(text: str | None) -> str | None:
@@ -321,7 +404,7 @@ def redact(text: str | None) -> str | None:
         start = last_byte + len(text[last_char : f.start].encode("utf-8", "surrogatepass"))
         end = start + len(text[f.start : f.end].encode("utf-8", "surrogatepass"))
         body = raw[start:end]
-        parts += [raw[last_byte:start], re.sub(rb"[A-Za-z0-9+/=]{8,}", MARK.encode(), body) if f.kind == "private_key" else MARK.encode()]
+        parts += [raw[last_byte:start], re.sub(rb"[A-Za-z0-9+/=]{8,}", MARK.encode(), body) if f.kind == "private_key" else f'"{MARK}"'.encode() if f.kind == "number" else MARK.encode()]
         last_char, last_byte = f.end, end
     return b"".join([*parts, raw[last_byte:]]).decode("utf-8", "surrogatepass")
 

@@ -44,6 +44,11 @@ def test_value_over_several_lines():
     assert redact(code) == f'let k = 1;\nlet senha = "{MARK}" +\n    "{MARK}";\n'
 
 
+def test_strings_joined_in_a_file_of_assignments_keep_their_quotes():
+    code = 'a = 1\nb = 2\nc = 3\nsenha = ("vIqBHDAbQOr198on"\n    "74gPLOo5a0tbyAi3")\nd = 4\ne = 5\n'
+    assert redact(code) == code.replace("vIqBHDAbQOr198on", MARK).replace("74gPLOo5a0tbyAi3", MARK)
+
+
 def test_key_names_and_values():
     assert all(map(sensitive_key, ["senha", "DB_PASSWORD", "tempresdamChave_api", "apiKey", "authToken_v2", "xPwd2", "smtp-senha"]))
     assert not any(map(sensitive_key, ["", "traumjompassaum", "token_limit", "senha_min", "password_label", "chave", "senhar", "public_key", "_"]))
@@ -60,3 +65,43 @@ def test_frames(spark):
     spot = [r for r in find_credentials(df, "id", "conteudo").collect() if r.id == 4][0]
     assert rows[4][1].encode()[spot.byte_start : spot.byte_end].decode() == "Ab12Cd34é"
     assert find_credentials(spark.createDataFrame([], "id long, conteudo string"), "id", "conteudo").count() == 0
+
+
+V = "Xk93mPq7"
+ON_PATH = [
+    "secrets:\n  db: V\n", '{"credentials": {"db": "V", "user": "admin1"}}', "[secrets]\r\nhost = a1\r\ndb = V\r\n", '[prod.secrets]\ndb = "V" # c\n', "<secrets><db>V</db></secrets>", '<secret db="V"/>',
+    '<c><add key="DbPassword" value="V"/></c>', "<p><name>db.password</name><value>V</value></p>", '<property name="password">V</property>', "passwords:\n- V\nother: a1b2c3\n", '{"api_keys": ["V"]}',
+    "env:\n  - name: DB_PASSWORD\n    value: V\n  - name: HOME\n    value: a1b2c3\n", '{"env": [{"value": "V", "name": "DB_PASSWORD"}]}', "kind: Secret\nstringData:\n  db: V\n", "secrets.db=V\n", "secrets: {db: V, host: h1}\n",
+    "segredos:\n  banco: |\n    V\n", "credentials:\n" + "".join(f"  host{i}: a{i}\n" for i in range(100)) + "  db: V\n", '{"secrets": {"db": "V"', '[[tokens]]\nci = "V"\n', "[secrets]\ndb =\n  V\n",
+    'variable "db_password" {\n' + "  # some words\n" * 60 + '  default = "V"\n}\n',
+]
+BESIDE = [
+    "secrets:\n  - db_password\n  - source: app-token-v1\n", "password:\n  min: 12\n  algorithm: bcrypt2\n  iterations: 100000\n", "secrets:\n  db_password:\n    file: ./x1.txt\n    external: true\n", "secrets: inherit\n",
+    "secrets:\n  db: ${DB}\n  x: '{{ vault }}'\n  y: changeme\n", "max_tokens:\n  a: b1b1b1b1\n", "secretKeyRef:\n  name: db1x\n  key: password\n", "[token]\nissuer = auth1.example.org\nttl = 15m\n",
+    '{"password": {"label": "Senha1x", "min": 8}}', "credentials:\n  user: admin1\n  host: db1.internal\n  port: 5432\n", "class Secrets:\n    db = load(1)\n    cache = f(2)\n",
+]
+
+
+@pytest.mark.parametrize("text", ON_PATH)
+def test_any_name_on_the_path_counts(text):
+    text = text.replace("V", V) if "kind" not in text else text.replace("db: V", f"db: {V}")
+    found = [f for f in scan(text) if f.line]
+    assert [text[f.start : f.end] for f in found] == [V] and found[0].line == text[: text.index(V)].count("\n") + 1
+    assert redact(text) == text.replace(V, MARK) and redact(redact(text)) == redact(text)
+
+
+@pytest.mark.parametrize("text", BESIDE)
+def test_other_values_under_such_names_are_left_alone(text):
+    assert scan(text) == []
+
+
+def test_json_and_toml_numbers_stay_readable():
+    assert redact('[secrets]\na = "x y"\nb = 12345678\n') == f'[secrets]\na = "x y"\nb = "{MARK}"\n'
+    assert redact('{"secrets": {"a": 12345678}}') == f'{{"secrets": {{"a": "{MARK}"}}}}'
+
+
+def test_every_sensitive_word_holds_a_hint():
+    from lavra.llm import credentials as c
+
+    words = c.SENSITIVE | c.SECTIONS | {"".join(p) for p in {*c.SENSITIVE_PAIRS, *c.SECTION_PAIRS}}
+    assert all(c.HINT.search(w) for w in words)
