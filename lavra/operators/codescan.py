@@ -202,6 +202,47 @@ def lint(files: DataFrame, rules: list[tuple[str, str, str | None, int]]) -> Dat
     return code_lines(files).select("id", "linha", F.explode(F.array_compact(F.array(*tests))).alias("x")).select("id", "linha", "x.*")
 
 
+# Fixed value: head of a Python function that closes on its line, with its name and parameters.
+PYTHON_HEAD = r"^\s*def\s+(\w+)\s*\(([^)]*)\)"
+
+
+def python_functions(files: DataFrame) -> DataFrame:
+    """id, linha, nome, tamanho, parametros, documentada; the last two are null for heads of several lines."""
+    lines = F.split(F.regexp_replace("conteudo", "\r", ""), "\n", -1)
+    pairs = F.transform("ls", lambda x, i: F.struct(x.alias("texto"), F.get("ls", i + 1).alias("proxima")))
+    rows = files.select("id", lines.alias("ls")).select("id", F.size("ls").alias("__n"), F.posexplode(pairs).alias("__k", "x")).select("id", "__n", (F.col("__k") + 1).alias("linha"), "x.*")
+    found = rows.withColumn("nome", F.regexp_extract("texto", FUNCTIONS["python"], 1)).filter("nome <> ''")
+    nxt = F.lead("linha").over(Window.partitionBy("id").orderBy("linha"))
+    closed = F.col("texto").rlike(PYTHON_HEAD)
+    parameters = F.size(F.filter(F.split(F.regexp_extract("texto", PYTHON_HEAD, 2), ","), lambda p: F.trim(p) != "")).cast("long")
+    documented = F.coalesce(F.col("proxima").rlike("^\\s*(\"\"\"|\'\'\')"), F.lit(False))
+    return found.select(
+        "id", "linha", "nome", F.coalesce(nxt - F.col("linha") - 1, F.col("__n") - F.col("linha")).cast("long").alias("tamanho"), F.when(closed, parameters).alias("parametros"), F.when(closed, documented).alias("documentada")
+    )
+
+
+def python_classes(files: DataFrame) -> DataFrame:
+    """id, linha, nome, heranca of Python classes."""
+    pattern = r"^\s*class\s+(\w+)\s*(?:\(([^)]*)\))?\s*:"
+    found = code_lines(files).withColumn("nome", F.regexp_extract("texto", pattern, 1)).filter("nome <> ''")
+    return found.select("id", "linha", "nome", F.regexp_extract("texto", pattern, 2).alias("heranca"))
+
+
+def lint_python(files: DataFrame) -> DataFrame:
+    """All rules for Python: those of lines, of functions, and of repeated imports."""
+    rules = [("many_parameters", F.col("parametros") > 6, 3), ("long_function", F.col("tamanho") > 50, 3), ("no_docstring", ~F.col("documentada") & ~F.col("nome").startswith("_"), 1)]
+    tests = [F.when(hit, F.struct(F.lit(name).alias("regra"), F.lit(severity).alias("severidade"))) for name, hit, severity in rules]
+    of_functions = python_functions(files).select("id", "linha", F.explode(F.array_compact(F.array(*tests))).alias("x")).select("id", "linha", "x.*")
+    repeated = duplicate_imports(files).select("id", "linha", F.lit("repeated_import").alias("regra"), F.lit(2).alias("severidade"))
+    return lint(files, PYTHON_RULES).unionByName(of_functions).unionByName(repeated)
+
+
+def python_suggestions(files: DataFrame) -> DataFrame:
+    """As suggestions, and where under half of more than three functions have a docstring."""
+    share = python_functions(files).filter("documentada is not null").groupBy("id").agg(F.count("*").alias("n"), F.count_if("documentada").alias("com"))
+    return suggestions(files).unionByName(share.filter("n > 3 and com * 2 < n").select("id", F.lit("documentacao").alias("sugestao")))
+
+
 def lint_summary(problems: DataFrame) -> DataFrame:
     return problems.groupBy("regra", "severidade").agg(F.count("*").alias("n"), F.count_distinct("id").alias("arquivos"))
 

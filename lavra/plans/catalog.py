@@ -758,6 +758,58 @@ def quality_score(t: Tables) -> DataFrame:
     return codescan.quality_score(t.contexto_codigo, codescan.lint(t.contexto_codigo, codescan.PYTHON_RULES))
 
 
+PYTHON_FUNCTIONS_SQL = f"""{LINES_SQL}, v as (select *, lead(texto) over (partition by id order by linha) as proxima, max(linha) over (partition by id) as total from l), h as (select *, regexp_extract(texto, '{codescan.FUNCTIONS['python']}', 1) as nome,
+    regexp_matches(texto, '{codescan.PYTHON_HEAD}') as fechada from v), pf as (select id, cast(linha as integer) as linha, nome, cast(coalesce(lead(linha) over (partition by id order by linha) - linha - 1, total - linha) as bigint) as tamanho,
+    case when fechada then cast(len(regexp_extract_all(regexp_extract(texto, '{codescan.PYTHON_HEAD}', 2), '[^,]*[^,\\s][^,]*')) as bigint) end as parametros,
+    case when fechada then coalesce(regexp_matches(proxima, '^\\s*(\"\"\"|\'\'\'\'\'\')'), false) end as documentada from h where nome <> '')"""
+LINT_ALL_SQL = f"""select * from ({lint_sql(codescan.PYTHON_RULES)}) union all select id, linha, regra, severidade from (with {PYTHON_FUNCTIONS_SQL} select id, linha, 'many_parameters' as regra, 3 as severidade from pf where parametros > 6
+    union all select id, linha, 'long_function', 3 from pf where tamanho > 50 union all select id, linha, 'no_docstring', 1 from pf where not documentada and not starts_with(nome, '_'))
+    union all select id, linha, 'repeated_import', 2 from (with {IMPORTS_SQL} select id, linha, min(linha) over (partition by id, modulo) as primeira from m where modulo <> '') where linha > primeira"""
+
+
+@query(f"with {PYTHON_FUNCTIONS_SQL} select * from pf")
+def python_functions(t: Tables) -> DataFrame:
+    return codescan.python_functions(t.contexto_codigo)
+
+
+CLASS_SQL = r"^\s*class\s+(\w+)\s*(?:\(([^)]*)\))?\s*:"
+
+
+@query(f"with {LINES_SQL} select id, cast(linha as integer) as linha, regexp_extract(texto, '{CLASS_SQL}', 1) as nome, regexp_extract(texto, '{CLASS_SQL}', 2) as heranca from l where regexp_extract(texto, '{CLASS_SQL}', 1) <> ''")
+def python_classes(t: Tables) -> DataFrame:
+    return codescan.python_classes(t.contexto_codigo)
+
+
+@query(LINT_ALL_SQL)
+def lint_python_all(t: Tables) -> DataFrame:
+    return codescan.lint_python(t.contexto_codigo)
+
+
+@query(f"select regra, severidade, count(*) as n, count(distinct id) as arquivos from ({LINT_ALL_SQL}) group by regra, severidade")
+def lint_summary_all(t: Tables) -> DataFrame:
+    return codescan.lint_summary(codescan.lint_python(t.contexto_codigo))
+
+
+@query(f"with p as ({LINT_ALL_SQL}) select id, linha, regra, severidade, row_number() over (partition by id order by severidade desc, linha, regra) as ordem from p")
+def lint_rows_all(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("id").orderBy(F.col("severidade").desc(), "linha", "regra")
+    return codescan.lint_python(t.contexto_codigo).withColumn("ordem", F.row_number().over(w).cast("long"))
+
+
+@query(
+    f"""select * from ({ORACLE['suggestions']}) union all select id, 'documentacao' from (with {PYTHON_FUNCTIONS_SQL} select id from pf where documentada is not null group by id having count(*) > 3 and count(*) filter (where documentada) * 2 < count(*))"""
+)
+def suggestions_all(t: Tables) -> DataFrame:
+    return codescan.python_suggestions(t.contexto_codigo)
+
+
+@query(ORACLE["quality_score"].replace(f"({lint_sql(codescan.PYTHON_RULES)})", f"({LINT_ALL_SQL})"))
+def quality_score_all(t: Tables) -> DataFrame:
+    return codescan.quality_score(t.contexto_codigo, codescan.lint_python(t.contexto_codigo))
+
+
 @query(r"select id, case when ends_with(c, chr(10)) then c else c || chr(10) end as conteudo from (select id, regexp_replace(conteudo, '\n{4,}', chr(10) || chr(10) || chr(10), 'g') as c from contexto_codigo)")
 def fix_blank_lines(t: Tables) -> DataFrame:
     return t.contexto_codigo.select("id", rewrite.fix_blank_lines(F.col("conteudo")).alias("conteudo"))
