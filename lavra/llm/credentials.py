@@ -76,6 +76,10 @@ TOKENS = re.compile(
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
+# A line of a key, also in a comment or a string; lines end with a line feed or its escape.
+BODY_LINE = re.compile(r"^(?P<lead>\s*(?:(?://+|#+|\*+|--|;+|%|>|REM\b)\s*)?[\"'`(]*)(?P<run>=?(?=[+/]*[A-Za-z0-9])[A-Za-z0-9+/]+={0,2})(?P<tail>[\"'`)]*\s*[+.,;\\]*\s*\)?\s*)$")
+LONG_RUN = re.compile(r"(?:^|[\s\"'`>|:])[A-Za-z0-9+/]{40,}={0,2}[\"'`)]*\s*[+.,;\\]*\s*$")
+LINE_END = re.compile(r"\r?\n|(?:\\r)?\\n")
 URL = re.compile(r"(?i)\b[a-z][a-z0-9+.-]*://([^\s:/@'\"<>`]*):([^\s/@'\"<>`]+)@[^\s'\"<>`]")
 HEADER = re.compile(r"(?i)\b(?:(?:proxy-)?authorization\s*[:=]\s*[\"']?\s*(?:bearer|basic|token|apikey)\s+|(?:x-)?(?:api-key|auth-token|access-token|vault-token|gitlab-token)\s*:\s*)([^\s'\"`;,]+)")
 DSN = re.compile(r"(?i)(?:^|[;\s'\"`])(?:password|pwd|accountkey|sharedaccesskey|senha)\s*=\s*([^;'\"`\s]+)\s*;|;\s*(?:password|pwd|accountkey|sharedaccesskey)\s*=\s*([^;'\"`\s]+)")
@@ -192,7 +196,10 @@ def scan(text: str | None) -> list[Finding]:
     for m in PRIVATE.finditer(text):
         close = PRIVATE_END.search(text, m.end())
         again = PRIVATE.search(text, m.end())
-        stop = close.start() if close and not (again and again.start() < close.start()) else min(len(text), m.end() + 4000 if not again else again.start())
+        if close and not (again and again.start() < close.start()):
+            stop = close.start()
+        else:
+            stop = _body_end(text, m.end(), again.start() if again else len(text))
         body = text[m.end() : stop]
         if BODY.search(body):
             add(m.end(), stop, "private_key", line_at=m.start())
@@ -322,6 +329,43 @@ def scan(text: str | None) -> list[Finding]:
     return sorted(out, key=lambda f: f.start)
 
 
+def _body_end(text: str, at: int, bound: int) -> int:
+    """Where the key-shaped lines of a private key without an end mark end."""
+    stop, read = at, False
+    while at < bound:
+        m = LINE_END.search(text, at, bound)
+        end = m.start() if m else bound
+        line = text[at:end]
+        shape = BODY_LINE.match(line)
+        run = shape.group("run") if shape else ""
+        if LONG_RUN.search(line) or len(run) >= 16 and re.search(r"[0-9+/=]", run):
+            stop, read = end, True
+        elif read and run and (end == len(text) or re.search(r"[0-9+/=]|[a-z][A-Z]", run)):
+            return end
+        elif line.strip(" \t\r#/*;%>\"'`+.,") and (read or not re.search(r"[A-Za-z-]+: ", line)):
+            break
+        at = m.end() if m else bound
+    return stop
+
+
+def _blank_body(body: str) -> str:
+    """A mark over every line of a key. A last line of one byte (xx==) stays."""
+    out, at = [], 0
+    while at <= len(body):
+        m = LINE_END.search(body, at)
+        line = body[at : m.start()] if m else body[at:]
+        shape = BODY_LINE.match(line)
+        if shape and not re.fullmatch(r"[^=]{2}==", shape.group("run")):
+            line = shape.group("lead") + MARK + shape.group("tail")
+        elif not shape:
+            line = re.sub(r"[A-Za-z0-9+/=]{8,}", MARK, line)
+        out += [line, m.group() if m else ""]
+        if not m:
+            break
+        at = m.end()
+    return "".join(out)
+
+
 def _nest(stack: list[tuple[int, str]], line: str) -> None:
     """Keep the keys whose indented block a line stands in."""
     deep = len(line) - len(line.lstrip())
@@ -403,8 +447,7 @@ def redact(text: str | None) -> str | None:
     for f in found:
         start = last_byte + len(text[last_char : f.start].encode("utf-8", "surrogatepass"))
         end = start + len(text[f.start : f.end].encode("utf-8", "surrogatepass"))
-        body = raw[start:end]
-        parts += [raw[last_byte:start], re.sub(rb"[A-Za-z0-9+/=]{8,}", MARK.encode(), body) if f.kind == "private_key" else f'"{MARK}"'.encode() if f.kind == "number" else MARK.encode()]
+        parts += [raw[last_byte:start], _blank_body(text[f.start : f.end]).encode("utf-8", "surrogatepass") if f.kind == "private_key" else f'"{MARK}"'.encode() if f.kind == "number" else MARK.encode()]
         last_char, last_byte = f.end, end
     return b"".join([*parts, raw[last_byte:]]).decode("utf-8", "surrogatepass")
 
