@@ -99,7 +99,7 @@ def shingle_levels(texts: DataFrame, words: int, min_words: int) -> np.ndarray:
 
 
 def fingerprints(texts: DataFrame, levels, words: int, min_words: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Per record: id, n, set hash, folded fingerprint, and the ordered bits (null for a set this task has seen).
+    """Per record: id, hash of the text, n, set hash, folded fingerprint, and the ordered bits (null for a set this task has seen).
 
     rare is the number of leading bits that no more than block_rows records can have.
     """
@@ -137,19 +137,19 @@ def fingerprints(texts: DataFrame, levels, words: int, min_words: int, block_row
                 pa.array(np.concatenate([[0], ends]).astype(np.int32), pa.int32(), mask=np.concatenate([~fresh, [False]])), pa.array(values, pa.int64())
             )
             yield pa.RecordBatch.from_arrays(
-                [part.column("id").take(pa.array(rows)), pa.array(n.astype(np.int32)), pa.array(h1), pa.array(h2)]
+                [part.column("id").take(pa.array(rows)), part.column("raw").take(pa.array(rows)), pa.array(n.astype(np.int32)), pa.array(h1), pa.array(h2)]
                 + [pa.array(np.ascontiguousarray(folded[:, k])) for k in range(4)]
                 + [pa.array(np.add.reduceat(few, first, dtype=np.int64).astype(np.int32)), tokens],
-                ["id", "n", "h1", "h2", "f0", "f1", "f2", "f3", "rare", "bits"],
+                ["id", "raw", "n", "h1", "h2", "f0", "f1", "f2", "f3", "rare", "bits"],
             )
 
     id_type = texts.schema["id"].dataType.simpleString()
-    return map_arrow(texts, run, f"id {id_type}, n int, h1 long, h2 long, f0 long, f1 long, f2 long, f3 long, rare int, bits array<long>")
+    return map_arrow(texts, run, f"id {id_type}, raw long, n int, h1 long, h2 long, f0 long, f1 long, f2 long, f3 long, rare int, bits array<long>")
 
 
 @dataclass
 class NearDuplicates:
-    """pairs: h_a, h_b, n_a, n_b, hamming, likeness of distinct sets. members: id, h (class), for every record with enough words."""
+    """pairs: h_a, h_b, n_a, n_b, hamming, likeness of distinct sets. members: id, h (class), raw (hash of the text as it is), for every record with enough words."""
 
     pairs: DataFrame
     members: DataFrame
@@ -157,24 +157,27 @@ class NearDuplicates:
     def classes(self) -> DataFrame:
         return self.members.groupBy("h").agg(F.min("id").alias("representative"), F.count("*").alias("copies"))
 
-    def expanded_pairs(self, largest_class: int = 256) -> DataFrame:
+    def expanded_pairs(self, largest_class: int = 256, by_text: bool = False) -> DataFrame:
         """id_a < id_b for every pair of records, copies included.
 
-        Of a class of more than largest_class equal sets, the representative stands for all in pairs with other classes, and
-        the class itself is given as (representative, copy): every link between different sets is there, and the number of
-        rows stays linear in the size of a group of copies.
+        Of more than largest_class copies, the least id stands for all in pairs with others, and the copies are given as
+        (least id, copy): every link between others is there, and the number of rows stays linear in the size of a group of
+        copies. Copies are records of equal sets, or with by_text of equal texts only, so that pairs of different texts are
+        given also within a class.
         """
-        return expand_classes(self.pairs.select("h_a", "h_b"), self.members, "h", largest_class)
+        return expand_classes(self.pairs.select("h_a", "h_b"), self.members, "h", largest_class, copy="raw" if by_text else None)
 
 
-def expand_classes(pairs: DataFrame, members: DataFrame, key: str, largest: int, keep: tuple[str, ...] = (), own: str | None = None) -> DataFrame:
-    """id_a < id_b (and keep; own is its value within a class) from pairs of classes and members(id, key)."""
-    classes = members.groupBy(key).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1")
-    classes = materialize(classes, "classes")
-    large = classes.filter(F.col("copies") > largest).select(key, "rep")
+def expand_classes(pairs: DataFrame, members: DataFrame, key: str, largest: int, keep: tuple[str, ...] = (), own: str | None = None, copy: str | None = None) -> DataFrame:
+    """id_a < id_b (and keep; own is its value within a class) from pairs of classes and members(id, key).
+
+    More than `largest` copies are linked by their least id only; copies are members of equal key, and of equal copy if given.
+    """
+    same = [key, copy] if copy else [key]
+    large = materialize(members.groupBy(*same).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter(F.col("copies") > largest).select(*same, "rep"), "large-classes")
     if large.count() <= BROADCAST_IDS:
         large = F.broadcast(large)
-    marked = members.join(large, key, "left")
+    marked = members.join(large, same, "left")
     stands = marked.filter("rep is null or id = rep").select("id", key)
     between = (
         pairs.join(stands.select(F.col("id").alias("x"), F.col(key).alias(f"{key}_a")), f"{key}_a")
@@ -184,11 +187,13 @@ def expand_classes(pairs: DataFrame, members: DataFrame, key: str, largest: int,
     )
     value = [F.col(own).alias(keep[0])] if own else []
     extra = [own] if own else []
-    small = members.join(classes.filter(F.col("copies") <= largest).select(key), key, "left_semi")
+    small = marked.filter("rep is null or id = rep").select("id", key, *extra)
+    several = materialize(small.groupBy(key).count().filter("count > 1").select(key), "classes")
+    small = small.join(several, key, "left_semi")
     within = (
         small.select(F.col("id").alias("id_a"), key, *extra).join(small.select(F.col("id").alias("id_b"), key), key).filter("id_a < id_b").select("id_a", "id_b", *value)
     )
-    star = members.join(large, key).filter("id > rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), *value)
+    star = members.join(large, same).filter("id > rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"), *value)
     return between.unionByName(within).unionByName(star)
 
 
@@ -200,9 +205,10 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
         raise ValueError("threshold must be in (0, 1]")
     least = max(min_words or words, words)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= 2 * least - 1))
+    texts = texts.withColumn("raw", F.xxhash64("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(texts, words, least))
     docs = materialize(fingerprints(texts, levels, words, least, block_rows), "fingerprints")
-    members = docs.select("id", F.col("h1").alias("h")).distinct()
+    members = docs.groupBy("id", F.col("h1").alias("h")).agg(F.min("raw").alias("raw"))
     return NearDuplicates(_pairs(docs, t, block_rows), members)
 
 

@@ -54,7 +54,7 @@ def _near(spark: SparkSession, d: str) -> neardup.NearDuplicates:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return _near(spark, d).expanded_pairs()
+    return _near(spark, d).expanded_pairs(by_text=True)
 
 
 def p6_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -76,6 +76,16 @@ def test_near_duplicates_equal_brute_force(spark, size, threshold, least):
     assert groups == {i: find(i) for i in sets}
 
 
+def test_only_equal_texts_are_linked_by_their_least_id(spark):
+    text = "um dois três quatro cinco seis sete oito nove dez onze doze treze"
+    texts = [text] * 4 + [text.upper()] * 4 + [text + "." * k for k in range(1, 4)] + [text + " extra"]
+    found = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, texto string"), "id", "texto", 3, 0.6, 12)
+    got = [tuple(r) for r in found.expanded_pairs(largest_class=3, by_text=True).collect()]
+    stand = [0, 4, 8, 9, 10, 11]
+    expected = {*itertools.combinations(stand, 2), *((0, k) for k in (1, 2, 3)), *((4, k) for k in (5, 6, 7))}
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_near_duplicates_of_nothing(spark):
     found = neardup.near_duplicates(spark.createDataFrame([], "id long, texto string"), "id", "texto")
     assert found.expanded_pairs().count() == 0 and neardup.near_duplicate_groups(found).count() == 0
