@@ -79,18 +79,22 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return spans.shared_pairs(_table(spark, d, "documents"), "doc_id", "text").select("doc_a", "doc_b")
+    return spans.shared_pairs(_table(spark, d, "documents"), "doc_id", "text")
 
 
 def p9_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_coverage(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
+def p9_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spans.span_classes(_table(spark, d, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_found, p2_token_budget, p3_found, p3_redacted, p4_found, p4_quality, p5_found, p5_clean, p6_found, p6_groups, p7_packing, p8_found, p8_leaks, p8_clean,
-        p9_found, p9_coverage,
+        p9_found, p9_coverage, p9_classes,
     )
 }
 

@@ -195,7 +195,17 @@ def test_shared_spans_equal_brute_force(spark):
             if any(t[k : k + least] in grams[j] for j in have if j != i):
                 marks |= set(range(k, k + least))
         assert covered[i] == len(marks)
+    found = {}
+    for r in spans.span_classes(df, "doc_id", "text", least).collect():
+        assert have[r.id][r.start : r.start + least] in grams[r.id] and r.copies >= 2
+        found.setdefault(r.span, set()).add(r.id)
+    least_of = {}
+    for i in sorted(have):
+        least_of.setdefault(have[i], i)
+    distinct = {(least_of[have[a]], least_of[have[b]]) for a, b in expected} - {(i, i) for i in have}
+    assert {p for c in found.values() for p in itertools.combinations(sorted(c), 2)} == {tuple(sorted(p)) for p in distinct}
     empty = spark.createDataFrame([], "doc_id long, text string")
+    assert spans.span_classes(empty, "doc_id", "text").count() == 0
     assert spans.shared_pairs(empty, "doc_id", "text").count() == 0 and spans.shared_coverage(empty, "doc_id", "text").count() == 0
 
 
