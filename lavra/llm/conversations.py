@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lavra.operators.chains import jump_pointers, previous_rows
+from lavra.llm.chains import jump_pointers, previous_rows
 from lavra.session import materialize
 
 # Spellings of roles.
@@ -30,7 +30,7 @@ def _trimmed(column: str) -> str:
 
 
 def message_links(df: DataFrame, session: str, role: str, text: str, time: str, id_col: str) -> DataFrame:
-    """session, id, parent (row before in the session), role (u, a, n or ?), keep, sound: one row for each message in a session."""
+    """at, parent (at of the row before in the session), session, id, role (u, a, n or ?), keep, sound: one row for each message in a session."""
 
     def listed(values: tuple[str, ...]) -> str:
         return ", ".join(f"'{v}'" for v in values)
@@ -41,27 +41,24 @@ def message_links(df: DataFrame, session: str, role: str, text: str, time: str,
         .select(
             "session", "id", "time",
             F.expr(f"case when said in ({listed(USER)}) then 'u' when said in ({listed(ASSISTANT)}) then 'a' when said in ({listed(NOTE)}) then 'n' else '?' end").alias("role"),
-            F.expr("struct(length(text) as size, md5(text) as hash)").alias("same"),
+            F.expr("struct(length(text) as size, unhex(md5(text)) as hash)").alias("same"),
             F.expr("time is not null and coalesce(text rlike '[\\\\p{L}\\\\p{Nd}]', false)").alias("sound"),
         )
         .dropDuplicates(["session", "id", "time"])
     )
-    linked = previous_rows(rows, "session", ["time", "id"], ["id", "role", "same"])
-    repeated = F.col("prev_role").eqNullSafe(F.col("role")) & F.col("prev_same").eqNullSafe(F.col("same")) & F.col("prev_id").isNotNull()
-    return linked.select("session", "id", F.col("prev_id").alias("parent"), "role", ((F.col("role") != "n") & ~repeated).alias("keep"), "sound")
+    linked = previous_rows(rows, "session", ["time", "id"], ["role", "same"])
+    repeated = F.col("prev_role").eqNullSafe(F.col("role")) & F.col("prev_same").eqNullSafe(F.col("same")) & F.col("prev_at").isNotNull()
+    return linked.select("at", F.col("prev_at").alias("parent"), "session", "id", "role", ((F.col("role") != "n") & ~repeated).alias("keep"), "sound")
 
 
 def conversations(df: DataFrame, session: str = "sessao_id", role: str = "papel", text: str = "conteudo", time: str = "timestamp", id_col: str = "id") -> DataFrame:
     """sessao_id, posicao, id: the messages of each conversation kept, in order."""
-    links = materialize(message_links(df, session, role, text, time, id_col), "links")
-    key = F.struct("session", "id")
-    nodes = links.select(key.alias("id"), F.when(F.col("parent").isNotNull(), F.struct(F.col("session"), F.col("parent").alias("id"))).alias("parent"), F.col("keep").cast("int").alias("weight"))
-    placed = jump_pointers(nodes).filter("status = 'ok'").select(F.col("id.session").alias("session"), F.col("id.id").alias("id"), F.col("depth").alias("position"))
-    turns = links.filter("keep").join(placed, ["session", "id"])
-    turns = materialize(turns.select("session", "id", "role", "sound", "position"), "turns")
+    links = message_links(df, session, role, text, time, id_col).withColumn("weight", F.col("keep").cast("int")).withColumnRenamed("id", "message").withColumnRenamed("at", "id")
+    placed = jump_pointers(links, ("session", "message", "role", "sound", "keep"), complete=True)
+    turns = placed.filter("status = 'ok' and keep").withColumnRenamed("depth", "position")
     fits = F.expr("sound and role = case when position % 2 = 1 then 'u' else 'a' end")
-    whole = turns.groupBy("session").agg(F.count("*").alias("n"), F.sum((~fits).cast("int")).alias("wrong")).filter("wrong = 0 and n % 2 = 0").select("session")
-    return turns.join(whole, "session", "left_semi").select(F.col("session").alias("sessao_id"), F.col("position").cast("int").alias("posicao"), "id")
+    whole = turns.groupBy("root").agg(F.count("*").alias("n"), F.sum((~fits).cast("int")).alias("wrong")).filter("wrong = 0 and n % 2 = 0").select("root")
+    return turns.join(whole, "root", "left_semi").select(F.col("session").alias("sessao_id"), F.col("position").cast("int").alias("posicao"), F.col("message").alias("id"))
 
 
 def thread_paths(nodes: DataFrame) -> DataFrame:

@@ -281,7 +281,7 @@ def _exact(docs: DataFrame, close: DataFrame, t: Fraction) -> DataFrame:
 
 def near_duplicate_groups(found: NearDuplicates) -> DataFrame:
     """One row for each record: id, its group (the least id of its connected component) and its number of links to other texts."""
-    from lavra.operators.graph import connected_components
+    from lavra.llm.graph import connected_components
 
     linked = found.pairs.selectExpr("h_a as h", "h_b as other").union(found.pairs.selectExpr("h_b as h", "h_a as other"))
     links = linked.groupBy("h").agg(F.count("*").alias("links"))
