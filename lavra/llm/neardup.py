@@ -11,9 +11,10 @@ bits, so each of those is a block. The order puts rare shingles first, which kee
 2. One scan writes per record the size, two hashes of the whole set, a 256-bit folded fingerprint and the ordered bits.
    A task keeps the bits of a repeated set once, so a group of copies adds no more block entries than there are tasks.
 3. Blocks are joined on (shuffled, sort-merged, split by AQE if skewed). Length and position filters drop pairs that
-   cannot reach t. A block of more than BLOCK_ROWS records is split by a second bit: a pair whose first shared bit it is
-   must share another one among its first |A| - ceil(t|A|) + 2. So a bit that ever more records have, as the collection
-   grows, makes no ever larger block. Which blocks are large is counted exactly, where step 1 leaves it open.
+   cannot reach t. A block of more than BLOCK_ROWS records is split by a further bit: a pair that shares k bits must share
+   another one among its first |A| - ceil(t|A|) + k + 1. So a bit that ever more records have, as the collection grows,
+   makes no ever larger block; only records that share MOST_BITS of their rarest bits meet however many they are. Which
+   blocks are large is counted exactly, where step 1 leaves it open.
 4. The Hamming distance of the folded fingerprints never exceeds the true one and drops most of the rest; the distance of
    the whole fingerprints decides.
 
@@ -47,8 +48,11 @@ FOLD_BITS = 256
 ROWS = 1 << 14
 #: Ids kept in memory by a broadcast filter, at most; above, the same filter is a shuffled join.
 BROADCAST_IDS = 1_000_000
-#: Records of a block, at most, that meet by one shared bit; in larger blocks two shared bits are asked for.
+#: Records of a block, at most, that meet by the bits they share so far; in larger blocks a further one is asked for, up to MOST_BITS.
 BLOCK_ROWS = 256
+MOST_BITS = 4
+#: Entries of blocks that a task reads, about.
+ENTRIES_A_TASK = 250_000
 
 
 def _batches(batches: Iterator[pa.RecordBatch], words: int, min_words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -70,7 +74,8 @@ def shingle_levels(texts: DataFrame, words: int, min_words: int) -> np.ndarray:
         slots = np.zeros(1 << SLOT_BITS, np.int64)
         shift = np.uint64(HASH_BITS - SLOT_BITS)
         for _, x, _ in _batches(batches, words, min_words):
-            slots += np.bincount((x >> shift).astype(np.int64), minlength=1 << SLOT_BITS)
+            slot, n = np.unique(x >> shift, return_counts=True)
+            slots[slot.astype(np.int64)] += n
         for k in range(0, len(slots), BLOCK_SLOTS):
             part = slots[k : k + BLOCK_SLOTS]
             if part.any():
@@ -208,6 +213,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
     texts = texts.withColumn("raw", F.xxhash64("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(texts, words, least))
     docs = materialize(fingerprints(texts, levels, words, least, block_rows), "fingerprints")
+    if docs.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).filter("lo <> hi").limit(1).count():
+        raise RuntimeError("two different sets have the same 64-bit hash: change the constant h1 is made with")
     members = docs.groupBy("id", F.col("h1").alias("h")).agg(F.min("raw").alias("raw"))
     return NearDuplicates(_pairs(docs, t, block_rows), members)
 
@@ -217,16 +224,18 @@ def _pairs(docs: DataFrame, t: Fraction, block_rows: int) -> DataFrame:
     return _exact(docs, _close(docs, _candidates(docs, t, block_rows), t), t)
 
 
-def _candidates(docs: DataFrame, t: Fraction, block_rows: int) -> DataFrame:
+def _candidates(docs: DataFrame, t: Fraction, block_rows: int, most_bits: int = MOST_BITS) -> DataFrame:
     """Pairs of sets that share a block and pass the length and position filters."""
     num, den = t.numerator, t.denominator
     least = f"ceil(n * {num}L / {den}.0D)"
     sets = docs.filter("bits is not null").select(F.col("h1").alias("h"), "n", "rare", "bits")
-    entry = sets.withColumn("prefix", F.expr(f"slice(bits, 1, cast(n - {least} + 1 as int))")).select("h", "n", "rare", F.posexplode("prefix").alias("pos", "block"))
+    rows = sets.agg(F.sum(F.expr(f"n - {least} + 1"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // ENTRIES_A_TASK))
 
-    def meet(e: DataFrame, before: int) -> DataFrame:
+    def meet(entry: DataFrame, before: int) -> DataFrame:
         """Pairs of entries of a block; before: bits they share before the one at pos."""
-        a, b = e.alias("a"), e.alias("b")
+        entry = entry.select("h", "n", "pos", "block").repartition(parts, "block")
+        a, b = entry.alias("a"), entry.alias("b")
         return a.join(
             b,
             F.expr(
@@ -235,19 +244,30 @@ def _candidates(docs: DataFrame, t: Fraction, block_rows: int) -> DataFrame:
             ),
         ).select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
 
-    # A set that may share one bit only with a near one is never asked for two.
-    open_ = f"pos >= rare and {least} > 1"
-    large = materialize(entry.filter(open_).groupBy("block").count().filter(F.col("count") > block_rows).select("block"), "large-blocks")
-    count = large.count()
-    if not count:
-        return materialize(meet(entry.drop("rare"), 0).distinct(), "candidates")
-    large = F.broadcast(large) if count <= BROADCAST_IDS else large
-    single = entry.filter(f"not ({open_})").unionByName(entry.filter(open_).join(large, "block", "left_anti").select("h", "n", "rare", "pos", "block")).drop("rare")
-    first = entry.filter(open_).join(large, "block", "left_semi").select("h", F.struct("pos", "block").alias("x"))
-    second = F.expr(f"slice(bits, x.pos + 2, cast(n - {least} + 1 as int) - x.pos)")
-    each = first.join(sets, "h").select("h", "n", "x", F.posexplode(second).alias("k", "y"))
-    double = each.select("h", "n", F.expr("x.pos + 1 + k").alias("pos"), F.xxhash64("x.block", "y").alias("block"))
-    return materialize(meet(single, 0).unionByName(meet(double, 1)).distinct(), "candidates")
+    entry = sets.withColumn("prefix", F.expr(f"slice(bits, 1, cast(n - {least} + 1 as int))")).select("h", "n", "rare", F.posexplode("prefix").alias("pos", "block"))
+    met: DataFrame | None = None
+    for shared in range(1, most_bits + 1):
+        # Step 1 has shown already that the rare bits' blocks are not large.
+        open_ = "pos >= rare" if shared == 1 else "true"
+        count = 0
+        if shared < most_bits:
+            large = materialize(entry.filter(open_).groupBy("block").count().filter(F.col("count") > block_rows).select("block"), "large-blocks")
+            count = large.count()
+            large = F.broadcast(large) if count <= BROADCAST_IDS else large
+        alone = entry
+        if count:
+            inside = entry.filter(open_).join(large, "block", "left_semi").select(*entry.columns)
+            outside = entry.filter(open_).join(large, "block", "left_anti").select(*entry.columns)
+            # Sets so small that no more than these bits need be shared also meet by them.
+            alone = entry.filter(f"not ({open_})").unionByName(outside).unionByName(inside.filter(f"{least} <= {shared}"))
+        pairs = meet(alone, shared - 1)
+        met = pairs if met is None else met.unionByName(pairs)
+        if not count:
+            break
+        further = F.expr(f"slice(bits, x.pos + 2, cast(n - {least} + {shared} as int) - x.pos)")
+        each = inside.select("h", F.struct("pos", "block").alias("x")).join(sets, "h").select("h", "n", "x", F.posexplode(further).alias("k", "y"))
+        entry = materialize(each.select("h", "n", F.expr("x.pos + 1 + k").alias("pos"), F.xxhash64("x.block", "y").alias("block")), "blocks")
+    return materialize(met.distinct(), "candidates")
 
 
 def _close(docs: DataFrame, candidates: DataFrame, t: Fraction) -> DataFrame:
