@@ -1,7 +1,8 @@
 """Filling containers of fixed capacity with texts, by Karmarkar-Karp multiway differencing.
 
 A text larger than the container gives as many full pieces as fit; only its rest is an item. Items are parted by hash into
-groups of about `windows` containers each, whose number follows from the total, so no task's work grows with the input. In
+groups of about `windows` containers, or of about ITEMS items if these are fewer; their number follows from the totals, so no
+task's work grows with the input, and no group is cut. In
 a group the partial partitions with the widest spread are merged, the heaviest window of one onto the lightest of the
 other, which gives near-equal windows; while any window exceeds the capacity, the number of windows rises by one.
 
@@ -16,6 +17,7 @@ from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ from lavra.llm.tokens import DEFAULT_VOCABULARY, with_token_counts
 from lavra.session import materialize
 
 MOST_CAPACITIES = 1000
+#: Items of a group, about, where containers hold so many that `windows` of them would have more.
+ITEMS = 16384
 
 
 def differencing(sizes: list[int], windows: int) -> tuple[list[int], list[int]]:
@@ -79,6 +83,10 @@ def pack(sizes: list[int], capacity: int) -> list[int]:
         k += 1
 
 
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
 def pack_documents(
     docs: DataFrame, id_col: str, text_col: str, containers: DataFrame, container_col: str, capacity_col: str, path: str = DEFAULT_VOCABULARY, windows: int = 64
 ) -> DataFrame:
@@ -92,8 +100,8 @@ def pack_documents(
     schema = f"recipiente_id {kind}, janela string, doc_id {id_type}, parte int, token_inicio long, token_fim long"
     if not capacities:
         return docs.sparkSession.createDataFrame([], schema)
-    total = sized.agg(F.sum("n_tokens")).first()[0] or 0
-    options = F.array(*[F.struct(F.lit(r).cast(kind).alias("r"), F.lit(c).cast("long").alias("c"), F.lit(max(1, -(-total // (c * windows)))).cast("long").alias("g")) for r, c in capacities])
+    total, texts = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count("*")).first()
+    options = F.array(*[F.struct(F.lit(r).cast(kind).alias("r"), F.lit(c).cast("long").alias("c"), F.lit(max(1, -(-total // (c * windows)), -(-texts // ITEMS))).cast("long").alias("g")) for r, c in capacities])
     each = sized.withColumn("o", F.explode(options)).select("doc_id", "n_tokens", "o.r", "o.c", "o.g", F.expr("n_tokens div o.c").alias("full"))
     full = each.filter("full > 0").select("r", "c", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("k"))
     full = full.select(
@@ -104,26 +112,34 @@ def pack_documents(
     items = items.select("r", "c", "group", "doc_id", F.col("full").cast("int").alias("parte"), "size").repartition("c", "group").sortWithinPartitions("c", "r", "group", "doc_id", "size")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        most = 64 * windows
+        names = ["recipiente_id", "janela", "doc_id", "parte", "token_inicio", "token_fim"]
 
-        def flush() -> pa.RecordBatch:
-            r, c, group = rows[0][:3]
-            window = pack([x[5] for x in rows], c)
-            tag = f"{group}-{rows[0][3]}"
-            out = [(r, f"{tag}-{w}", x[3], x[4], x[4] * c, x[4] * c + x[5]) for x, w in zip(rows, window)]
-            return pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(zip(*out), arrow)], names)
+        def packed(rows: pa.RecordBatch) -> pa.RecordBatch:
+            c, size, part = (rows.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("c", "size", "parte"))
+            window = pack(size.tolist(), int(c[0]))
+            tag = f"{rows.column('group')[0]}-"
+            return pa.RecordBatch.from_arrays(
+                [rows.column("r"), pa.array([f"{tag}{w}" for w in window]), rows.column("doc_id"), pa.array(part.astype(np.int32)), pa.array(part * c), pa.array(part * c + size)], names
+            )
 
-        names = ["recipiente_id", "janela", "doc_id", "parte", "token_inicio", "token_fim"]
-        arrow: list = []
+        kept: list[pa.RecordBatch] = []
         for batch in batches:
-            arrow = arrow or [batch.schema.field("r").type, pa.string(), batch.schema.field("doc_id").type, pa.int32(), pa.int64(), pa.int64()]
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if rows and (row[:3] != rows[0][:3] or len(rows) >= most):
-                    yield flush()
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield flush()
+            if not batch.num_rows:
+                continue
+            if kept and any(kept[-1].column(x)[-1] != batch.column(x)[0] for x in ("c", "r", "group")):
+                yield packed(_joined(kept))
+                kept = []
+            new = np.zeros(batch.num_rows - 1, bool)
+            for x in ("c", "r", "group"):
+                col = batch.column(x)
+                new |= pc.not_equal(col.slice(1), col.slice(0, len(col) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+            cut = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cut, cut[1:]):
+                kept.append(batch.slice(a, b - a))
+                if b < batch.num_rows:
+                    yield packed(_joined(kept))
+                    kept = []
+        if kept:
+            yield packed(_joined(kept))
 
     return full.unionByName(map_arrow(items, fill, schema))
