@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lavra.functions.arrow import map_arrow
+from lavra.llm import lexicon
 from lavra.llm.keypaths import GENERIC, leaves
 
 MARK = "REDACTED"
+COMMON_WORDS = frozenset(w for words in lexicon.COMMON.values() for w in words)
 
 # Words of key names that hold credentials, words that make a key harmless, and values to be filled in.
 SENSITIVE = set(
@@ -73,6 +76,8 @@ TOKENS = re.compile(
     r"[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-(?:proj-|ant-)?[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{24,}|ya29\.[\w-]{20,}|npm_[A-Za-z0-9]{30,}|pypi-[\w-]{30,}|hf_[A-Za-z0-9]{24,}|"
     r"SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{10,})"
 )
+# What every such token holds, in lower case.
+TOKEN_MARKS = ("akia", "asia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "xox", "k_live_", "k_test_", "sk-", "aiza", "ya29.", "npm_", "pypi-", "hf_", "sg.", "eyj")
 PRIVATE = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 PRIVATE_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
@@ -80,6 +85,8 @@ BODY = re.compile(r"[A-Za-z0-9+/=]{16,}")
 BODY_LINE = re.compile(r"^(?P<lead>\s*(?:(?://+|#+|\*+|--|;+|%|>|REM\b)\s*)?[\"'`(]*)(?P<run>=?(?=[+/]*[A-Za-z0-9])[A-Za-z0-9+/]+={0,2})(?P<tail>[\"'`)]*\s*[+.,;\\]*\s*\)?\s*)$")
 LONG_RUN = re.compile(r"(?:^|[\s\"'`>|:])[A-Za-z0-9+/]{40,}={0,2}[\"'`)]*\s*[+.,;\\]*\s*$")
 LINE_END = re.compile(r"\r?\n|(?:\\r)?\\n")
+ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]+-----[\s\S]*?-----END [A-Z0-9 ]+-----")
+EMBEDDED = re.compile(r"data:[\w./+-]+;base64,[A-Za-z0-9+/=]*|sha(?:1|256|384|512)-[A-Za-z0-9+/=]{20,}")
 URL = re.compile(r"(?i)\b[a-z][a-z0-9+.-]*://([^\s:/@'\"<>`]*):([^\s/@'\"<>`]+)@[^\s'\"<>`]")
 HEADER = re.compile(r"(?i)\b(?:(?:proxy-)?authorization\s*[:=]\s*[\"']?\s*(?:bearer|basic|token|apikey)\s+|(?:x-)?(?:api-key|auth-token|access-token|vault-token|gitlab-token)\s*:\s*)([^\s'\"`;,]+)")
 DSN = re.compile(r"(?i)(?:^|[;\s'\"`])(?:password|pwd|accountkey|sharedaccesskey|senha)\s*=\s*([^;'\"`\s]+)\s*;|;\s*(?:password|pwd|accountkey|sharedaccesskey)\s*=\s*([^;'\"`\s]+)")
@@ -104,6 +111,7 @@ BARE = re.compile(r"^(?P<lead>\s*(?:(?:#|//|;|--)\s*(?:old\s+)?)?(?:-\s+)?(?:exp
 ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>")
 MORE = re.compile(r"(?:\s*(?:\+|\.|\\|\|\|)?\s*|\s*(?:\+|\.|\\)?\s*\n\s*(?:\+|\.)?\s*)([\"'])((?:(?!\1)[^\\\n]|\\.)+)\1")
 BLOCK = re.compile(r"^(?P<indent>\s*)(?:-\s+)?(?P<key>[\"']?[A-Za-z_][\w.-]*[\"']?)\s*:\s*[|>][+-]?\d*\s*$")
+DASH = re.compile(" -")
 HINT = re.compile(r"(?i)senha|pass|pwd|secret|segredo|token|credencia|credential|key|chave")
 GENERIC_KEY = re.compile(r"(?i)[\"']?\b(?:value|valor|default|data|conteudo|content|stringdata)\b[\"']?\s*[:=]")
 ENDING = re.compile(r"(?:senha|password|passwd|secret|segredo|token|credencial|apikey|authtoken)$")
@@ -152,13 +160,22 @@ def literal_value(value: str, least: int = 4) -> bool:
     return "://" not in v
 
 
+def passphrase(value: str) -> bool:
+    """Whether a value of several words is a password rather than a message: no common word, none that names a credential, and one with letters and digits mixed."""
+    words = value.split()
+    if not 2 <= len(words) <= 8 or FILL_IN.match(value) or REFERENCE.search(value):
+        return False
+    plain = [re.sub(r"\W+", "", w.lower()) for w in words]
+    return not any(not w or w in COMMON_WORDS or HINT.search(w) for w in plain) and any(re.search(r"\d", w) and re.search(r"[^\W\d]", w) for w in plain)
+
+
 def sensitive_path(path: tuple[str, ...], value: str) -> bool:
     """Whether a value is a credential by any name on its path: its own, or that of a section or list it stands in, unless a name between says otherwise."""
     names = [p for p in path if not p.isdigit() and p.lower() not in GENERIC]
     if not names:
         return False
     if sensitive_key(names[-1]):
-        return literal_value(value)
+        return literal_value(value) or passphrase(value)
     if not literal_value(value) or PLAIN.fullmatch(value) or (sensitive_key(value) and re.fullmatch(r"[A-Za-z_.-]+(?:v?\d{1,2})?", value)):
         return False
     own = path[-1] == names[-1]
@@ -174,6 +191,31 @@ def sensitive_path(path: tuple[str, ...], value: str) -> bool:
     return False
 
 
+class _Taken:
+    """Spans that are spoken for; those taken do not overlap, those merely covered may."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return not k or self.ends[k - 1] <= start
+
+    def take(self, start: int, end: int) -> bool:
+        if not self.free(start, end):
+            return False
+        self.cover(start, end)
+        return True
+
+    def cover(self, start: int, end: int) -> None:
+        """Merge the span with those it overlaps."""
+        i, j = bisect_right(self.ends, start), bisect_left(self.starts, end)
+        if i < j:
+            start, end = min(start, self.starts[i]), max(end, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [start], [end]
+
+
 def _config_like(lines: list[str]) -> bool:
     ink = [x for x in lines if x.strip()]
     return bool(ink) and sum(bool(CONFIG_LINE.match(x)) for x in ink) >= 0.7 * len(ink)
@@ -184,16 +226,25 @@ def scan(text: str | None) -> list[Finding]:
     if not text or not text.strip():
         return []
     out: list[Finding] = []
-    taken: list[tuple[int, int]] = []
+    taken = _Taken()
+    line_starts = [0, *(m.end() for m in re.finditer("\n", text))]
+    low = text.lower()
+
+    def has(*words: str) -> bool:
+        return any(w in low for w in words)
 
     def add(start: int, end: int, kind: str, path: str = "", line_at: int | None = None) -> bool:
-        if start >= end or any(s < end and start < e for s, e in taken):
+        if start >= end or not taken.take(start, end):
             return False
-        taken.append((start, end))
-        out.append(Finding(text.count("\n", 0, start if line_at is None else line_at) + 1, start, end, kind, path))
+        out.append(Finding(bisect_right(line_starts, start if line_at is None else line_at), start, end, kind, path))
         return True
 
-    for m in PRIVATE.finditer(text):
+    def continued(start: int, end: int, path: str) -> None:
+        if start < end and taken.take(start, end):
+            out.append(Finding(0, start, end, "continued", path))
+
+    # Each rule is asked only where the text holds what all its matches hold.
+    for m in PRIVATE.finditer(text) if has("private key") else ():
         close = PRIVATE_END.search(text, m.end())
         again = PRIVATE.search(text, m.end())
         if close and not (again and again.start() < close.start()):
@@ -203,37 +254,36 @@ def scan(text: str | None) -> list[Finding]:
         body = text[m.end() : stop]
         if BODY.search(body):
             add(m.end(), stop, "private_key", line_at=m.start())
-    blocks = re.compile(r"-----BEGIN [A-Z0-9 ]+-----[\s\S]*?-----END [A-Z0-9 ]+-----")
-    for m in blocks.finditer(text):
+    for m in ARMOUR.finditer(text) if has("-----begin ") else ():
         if "PRIVATE KEY" not in m.group(0)[:60]:
-            taken.append(m.span())
-    for m in re.finditer(r"data:[\w./+-]+;base64,[A-Za-z0-9+/=]*|sha(?:1|256|384|512)-[A-Za-z0-9+/=]{20,}", text):
-        taken.append(m.span())
-    for m in URL.finditer(text):
+            taken.cover(*m.span())
+    for m in EMBEDDED.finditer(text) if has(";base64,", "sha1-", "sha256-", "sha384-", "sha512-") else ():
+        taken.cover(*m.span())
+    for m in URL.finditer(text) if has("://") and has("@") else ():
         if literal_value(m.group(2), 3) or (len(m.group(2)) >= 3 and not FILL_IN.match(m.group(2)) and not REFERENCE.search(m.group(2))):
             add(*m.span(2), "url")
-    for m in HEADER.finditer(text):
+    for m in HEADER.finditer(text) if has("authorization", "api-key", "auth-token", "access-token", "vault-token", "gitlab-token") else ():
         if literal_value(m.group(1), 6):
             add(*m.span(1), "header")
-    for m in TOKENS.finditer(text):
+    for m in TOKENS.finditer(text) if has(*TOKEN_MARKS) else ():
         if not FILL_IN.match(m.group(0)):
             add(*m.span(), "provider_token")
-    for m in DSN.finditer(text):
+    for m in DSN.finditer(text) if has(";") and has("password", "pwd", "accountkey", "sharedaccesskey", "senha") else ():
         g = 1 if m.group(1) else 2
         if literal_value(m.group(g)):
             add(*m.span(g), "connection_string")
     # Every word that makes a name sensitive holds a hint: without one in the whole file no path can be sensitive.
-    for leaf in leaves(text) if HINT.search(text) else []:
+    hints = [m.start() for m in HINT.finditer(text)]
+    for leaf in leaves(text) if hints else ():
         values = [(text[s:e], s, e) for s, e in leaf.spans]
         first = True
         for value, s, e in values:
             if sensitive_path(leaf.path, value):
                 if first:
                     first = not add(s, e, "number" if leaf.needs_quotes else "assignment", ".".join(leaf.path))
-                elif not any(a < e and s < b for a, b in taken):
-                    taken.append((s, e))
-                    out.append(Finding(0, s, e, "continued", ".".join(leaf.path)))
-    starts = {_key_start(text, m.start()) for m in HINT.finditer(text)} | {m.start() for m in GENERIC_KEY.finditer(text)}
+                else:
+                    continued(s, e, ".".join(leaf.path))
+    starts = {_key_start(text, at) for at in hints} | ({m.start() for m in GENERIC_KEY.finditer(text)} if hints else set())
     outer = _Outer(text)
     passed = 0
     for place in sorted(starts):
@@ -250,24 +300,23 @@ def scan(text: str | None) -> list[Finding]:
                 value += nxt.group(2)
                 spans.append(nxt.span(2))
                 at = nxt.end()
-            if literal_value(value):
+            if literal_value(value) or (sensitive_key(key) and passphrase(value)):
                 first = True
                 for s, e in spans:
                     if first:
                         first = not add(s, e, "assignment", key)
-                    elif not any(a < e and s < b for a, b in taken):
-                        taken.append((s, e))
-                        out.append(Finding(0, s, e, "continued", key))
-    for m in ELEMENT.finditer(text):
+                    else:
+                        continued(s, e, key)
+    for m in ELEMENT.finditer(text) if hints and has("</") else ():
         if sensitive_key(m.group(1)) and literal_value(m.group(2)):
             add(*m.span(2), "assignment", m.group(1))
-    for m in QUERY.finditer(text):
+    for m in QUERY.finditer(text) if hints and has("?", "&") else ():
         if sensitive_key(m.group(1)) and literal_value(m.group(2)):
             add(*m.span(2), "url")
-    for m in SQL.finditer(text):
+    for m in SQL.finditer(text) if has("identified", "password") else ():
         if literal_value(m.group(1)):
             add(*m.span(1), "statement")
-    for m in CONNECT.finditer(text):
+    for m in CONNECT.finditer(text) if has("connect", "mysqli", "pdo", "login", "authenticate", "auth", "networkcredential") else ():
         strings = [s for s in STRING.finditer(m.group(1))]
         plain = [a.strip() for a in m.group(1).split(",")]
         if len(strings) >= 2 and len(plain) == len(strings) and all(a[:1] in "\"'" for a in plain):
@@ -275,16 +324,12 @@ def scan(text: str | None) -> list[Finding]:
             if literal_value(s.group(0)[1:-1]) and not re.fullmatch(r"[\w-]+(\.[\w-]+)+", s.group(0)[1:-1]):
                 add(m.start(1) + s.start() + 1, m.start(1) + s.end() - 1, "call")
     lines = text.split("\n")
-    config = _config_like(lines)
-    at = 0
-    stack: list[tuple[int, str]] = []
-    for line in lines:
+    config: bool | None = None
+    # Each rule below needs one of the hints or a flag; `leaves` covers values under a path.
+    wanted = {bisect_right(line_starts, at) - 1 for at in hints} | {bisect_right(line_starts, m.start()) - 1 for m in DASH.finditer(text)}
+    for k in sorted(wanted):
+        line, at = lines[k], line_starts[k]
         body = line.rstrip("\r")
-        if not HINT.search(body) and " -" not in body:  # each rule below needs one of them; `leaves` covers values under a path
-            if config and body.strip():
-                _nest(stack, body)
-            at += len(line) + 1
-            continue
         comment = COMMENT.search(body)
         if comment:
             m = SPOKEN.search(body)
@@ -306,9 +351,10 @@ def scan(text: str | None) -> list[Finding]:
             cut = re.match(r"(\S+?)(?:\s+#.*)?$", value)
             if separated and cut and sensitive_key(key) and literal_value(cut.group(1)) and not re.search(r"[(){}\[\];]", cut.group(1)):
                 shell = re.match(r"\s*(?:export|ENV|ARG)\s", body)
+                if config is None:
+                    config = _config_like(lines)
                 if config and not comment or shell or _mixed(cut.group(1)):
-                    path = ".".join([k for _, k in stack] + [key])
-                    add(at + m.start("value"), at + m.start("value") + len(cut.group(1)), "assignment", path)
+                    add(at + m.start("value"), at + m.start("value") + len(cut.group(1)), "assignment", key)
         m = BLOCK.match(body)
         if m and sensitive_key(m.group("key").strip("\"'")):
             deep = len(m.group("indent"))
@@ -323,9 +369,6 @@ def scan(text: str | None) -> list[Finding]:
                     add(nxt + len(row) - len(row.lstrip()), nxt + len(row.rstrip()), "assignment", m.group("key"))
                     break
                 nxt = stop + 1
-        if body.strip():
-            _nest(stack, body)
-        at += len(line) + 1
     return sorted(out, key=lambda f: f.start)
 
 
@@ -366,16 +409,6 @@ def _blank_body(body: str) -> str:
     return "".join(out)
 
 
-def _nest(stack: list[tuple[int, str]], line: str) -> None:
-    """Keep the keys whose indented block a line stands in."""
-    deep = len(line) - len(line.lstrip())
-    while stack and stack[-1][0] >= deep:
-        stack.pop()
-    opened = re.match(r"^\s*(?:-\s+)?([\w.-]+)\s*:\s*$", line)
-    if opened:
-        stack.append((deep, opened.group(1)))
-
-
 def _key_start(text: str, at: int) -> int:
     """Start of the name, with its quote, that holds a place."""
     while at and (text[at - 1].isalnum() or text[at - 1] in "_$.-"):

@@ -102,6 +102,11 @@ BESIDE = [
 ]
 
 
+def test_passwords_of_several_words():
+    assert redact('password = "correct horse 9battery"') == f'password = "{MARK}"' and redact("db:\n  senha: 'ponte azul 77x'\n") == f"db:\n  senha: '{MARK}'\n"
+    assert not any(map(scan, ['senha = "Digite a sua senha 2x"', 'password = "must have 12 chars"', 'password = "two words"', 'senha_min = "ponte azul 77x"']))
+
+
 @pytest.mark.parametrize("text", ON_PATH)
 def test_any_name_on_the_path_counts(text):
     text = text.replace("V", V) if "kind" not in text else text.replace("db: V", f"db: {V}")
