@@ -112,8 +112,9 @@ ELEMENT = re.compile(r"<([A-Za-z_][\w.-]*)(?:\s[^<>]*)?>([^<>]+)</\1\s*>")
 MORE = re.compile(r"(?:\s*(?:\+|\.|\\|\|\|)?\s*|\s*(?:\+|\.|\\)?\s*\n\s*(?:\+|\.)?\s*)([\"'])((?:(?!\1)[^\\\n]|\\.)+)\1")
 BLOCK = re.compile(r"^(?P<indent>\s*)(?:-\s+)?(?P<key>[\"']?[A-Za-z_][\w.-]*[\"']?)\s*:\s*[|>][+-]?\d*\s*$")
 DASH = re.compile(" -")
-HINT = re.compile(r"(?i)senha|pass|pwd|secret|segredo|token|credencia|credential|key|chave")
-GENERIC_KEY = re.compile(r"(?i)[\"']?\b(?:value|valor|default|data|conteudo|content|stringdata)\b[\"']?\s*[:=]")
+HINTS = ("senha", "pass", "pwd", "secret", "segredo", "token", "credencia", "credential", "key", "chave")
+HINT = re.compile("(?i)" + "|".join(HINTS))
+GENERIC_KEY = re.compile(r"(?i)[\"']?\b(?:" + "|".join(sorted(GENERIC)) + r")\b[\"']?\s*[:=]")
 ENDING = re.compile(r"(?:senha|password|passwd|secret|segredo|token|credencial|apikey|authtoken)$")
 MYSQL = re.compile(r"\b(?:mysql|mysqldump|mysqladmin|mariadb)\b[^\n|;&]*?\s-p([^\s\"'-][^\s\"']*)")
 CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-zà-ÿ]+|[A-Z]+|\d+")
@@ -273,7 +274,7 @@ def scan(text: str | None) -> list[Finding]:
         if literal_value(m.group(g)):
             add(*m.span(g), "connection_string")
     # Every word that makes a name sensitive holds a hint: without one in the whole file no path can be sensitive.
-    hints = [m.start() for m in HINT.finditer(text)]
+    hints = sorted({at for w in HINTS for at in _places(low, w)}) if len(low) == len(text) else [m.start() for m in HINT.finditer(text)]
     for leaf in leaves(text) if hints else ():
         values = [(text[s:e], s, e) for s, e in leaf.spans]
         first = True
@@ -283,7 +284,7 @@ def scan(text: str | None) -> list[Finding]:
                     first = not add(s, e, "number" if leaf.needs_quotes else "assignment", ".".join(leaf.path))
                 else:
                     continued(s, e, ".".join(leaf.path))
-    starts = {_key_start(text, at) for at in hints} | ({m.start() for m in GENERIC_KEY.finditer(text)} if hints else set())
+    starts = {_key_start(text, at) for at in hints} | (set(_generic_keys(text, low)) if hints else set())
     outer = _Outer(text)
     passed = 0
     for place in sorted(starts):
@@ -418,6 +419,24 @@ def _key_start(text: str, at: int) -> int:
     return at - 1 if at and text[at - 1] in "\"'`@:" else at
 
 
+def _places(low: str, word: str) -> Iterator[int]:
+    at = low.find(word)
+    while at >= 0:
+        yield at
+        at = low.find(word, at + 1)
+
+
+def _generic_keys(text: str, low: str) -> Iterator[int]:
+    """Starts, with their quotes, of names such as value that take their meaning from the block they stand in."""
+    if len(low) != len(text):
+        yield from (m.start() for m in GENERIC_KEY.finditer(text))
+        return
+    for word in GENERIC:
+        for at in _places(low, word):
+            if GENERIC_KEY.match(text, at):
+                yield at - 1 if at and text[at - 1] in "\"'" else at
+
+
 def _mixed(v: str) -> bool:
     """Whether a bare word looks like a password rather than a word of prose."""
     return bool(re.search(r"\d", v)) or bool(re.search(r"[^\w.,:/-]", v)) or v.count("-") >= 2 or bool(re.search(r"[a-z][A-Z]", v))
