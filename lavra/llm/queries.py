@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lavra.llm import conversations, credentials, leakage, lines, neardup, packing, quality, spans, tokens
+from lavra.llm import conversations, credentials, languages, leakage, lines, neardup, packing, quality, spans, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +19,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_token_budget(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.token_budget(_table(spark, d, "exemplos"), "texto", "fonte", "categoria")
+    model = languages.fit(_table(spark, d, "documents"), "text", "lang")
+    return tokens.token_budget(_table(spark, d, "exemplos"), "texto", "fonte", "categoria", model=model)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -15,13 +15,14 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lavra.functions import codepoints as cp
 from lavra.functions.arrow import SMALL_PIECE, map_arrow
 from lavra.functions.text import fold_column, strip_column
-from lavra.llm import lexicon
+from lavra.llm import languages, lexicon
 from lavra.llm.shingles import word_hashes
 
 DEFAULT_VOCABULARY = os.path.join(os.environ.get("LAVRA_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_multi_50k.tiktoken")
@@ -35,6 +36,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def send_vocabulary(spark: SparkSession, path: str) -> str:
+    """Send the driver's vocabulary file to all workers, once per session; returns the name they find it by."""
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_lavra_files", set())
+    if path not in sent:
+        context.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)
+
+
 LETTERS, NUMBERS, SPACES, MARKS = 0, 1, 2, 3
 # White space of Unicode, and the letters that may follow an apostrophe as one piece.
 WHITE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -142,30 +153,37 @@ class PieceCounts:
         return np.bincount(row, weights=np.array(symbols, np.float64)[inverse], minlength=len(texts)).astype(np.int64)
 
 
-def with_token_counts(df: DataFrame, text_col: str, keep: list[str], path: str = DEFAULT_VOCABULARY, language: bool = False) -> DataFrame:
-    """The columns keep, n_tokens (0 for null and empty texts) and, if asked for, language; the text stays behind."""
+def with_token_counts(df: DataFrame, text_col: str, keep: list[str], path: str = DEFAULT_VOCABULARY, language: bool | languages.Model = False) -> DataFrame:
+    """The columns keep, n_tokens (0 for null and empty texts) and, if asked for, language; the text stays behind.
+
+    language is a classifier, or True for a vote of common words.
+    """
+    name = send_vocabulary(df.sparkSession, path)
+    model = language if isinstance(language, languages.Model) else None
+    sent, language = df.sparkSession.sparkContext.broadcast(model) if model else None, bool(language)
     rows = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"] + ["n_tokens long"] + ["language string"] * language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = PieceCounts(path)
+        counts = PieceCounts(SparkFiles.get(name))
         for batch in batches:
             for off, part in cp.pieces(batch.column("__text"), SMALL_PIECE):
                 out = [batch.column(c).slice(off, len(part)) for c in keep]
                 out.append(pa.array(counts.of(part)))
                 if language:
-                    out.append(pa.array(lexicon.languages(*word_hashes(part), len(part)).tolist(), pa.string()))
+                    names = languages.languages(part, sent.value) if sent else lexicon.languages(*word_hashes(part), len(part))
+                    out.append(pa.array(names.tolist(), pa.string()))
                 yield pa.RecordBatch.from_arrays(out, [*keep, "n_tokens"] + ["language"] * language)
 
     return map_arrow(rows, run, schema)
 
 
-def token_budget(df: DataFrame, text_col: str, source_col: str, domain_col: str, path: str = DEFAULT_VOCABULARY, default_domain: str = "geral") -> DataFrame:
+def token_budget(df: DataFrame, text_col: str, source_col: str, domain_col: str, path: str = DEFAULT_VOCABULARY, default_domain: str = "geral", model: languages.Model | None = None) -> DataFrame:
     """fonte, idioma, dominio, nivel, n_textos, n_tokens: exact totals of every slice and of each of its three sides.
 
     nivel names the slice: "fonte", "idioma", "dominio", "fonte+idioma+dominio" or "total"; the other columns are null.
     Sources compare trimmed and in lower case (blank or null: "(sem fonte)"), domains also without accents (blank or null:
-    the default one). Language is that of the text by its common words ("und" if it has none). Null and empty texts count
+    the default one). Language is that of the text by the model, or without one by its common words ("und" if neither says). Null and empty texts count
     as texts of no tokens. Only counts are shuffled, pre-aggregated, so a hot source is no heavier than another.
     """
     source = F.lower(strip_column(F.col(source_col)))
@@ -175,7 +193,7 @@ def token_budget(df: DataFrame, text_col: str, source_col: str, domain_col: str,
         F.when(F.coalesce(domain, F.lit("")) == "", F.lit(default_domain)).otherwise(domain).alias("dominio"),
         F.col(text_col).alias("text"),
     )
-    counted = with_token_counts(rows, "text", ["fonte", "dominio"], path, language=True).withColumnRenamed("language", "idioma")
+    counted = with_token_counts(rows, "text", ["fonte", "dominio"], path, language=model or True).withColumnRenamed("language", "idioma")
     slices = counted.groupBy("fonte", "idioma", "dominio").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
     sets = slices.groupingSets([["fonte"], ["idioma"], ["dominio"], ["fonte", "idioma", "dominio"], []], "fonte", "idioma", "dominio")
     level = F.expr("case grouping_id() when 3 then 'fonte' when 5 then 'idioma' when 6 then 'dominio' when 0 then 'fonte+idioma+dominio' else 'total' end")
