@@ -6,14 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, STOP = r"(^|[^\p{L}\p{N}_])", r"($|[^\p{L}\p{N}_])"
-# Words that speak for an intent, with weights: a table of our own.
-INTENTS = {
-    "analisar": [(START + r"(analis[ae]|revis[ae]|audit[ae])" + STOP, 1.0), (START + r"verifica" + STOP, 0.8), (START + r"(erro|errado|ruim|bug)" + STOP, 1.2)],
-    "corrigir": [(START + r"(corrige|corrija|arruma|conserta)" + STOP, 1.0), (START + r"fix" + STOP, 0.8), (START + r"resolve o (erro|bug|problema)" + STOP, 1.5)],
-    "melhorar": [(START + r"(melhora|refatora|otimiza|simplifica|aprimora)" + STOP, 1.0), (START + r"(refactor|improve|clean)" + STOP, 0.8)],
-    "criar": [(START + r"(cria|gera|implementa|escreve|monta)" + STOP, 1.0), (START + r"(create|generate)" + STOP, 0.8)],
-    "explicar": [(START + r"(explica|significa)" + STOP, 1.2), (START + r"como funciona" + STOP, 1.3), (START + r"para que serve" + STOP, 1.2)],
+# The intents, the one of a message without any, and the confidences and share of the rules that follow.
+TALK, TALK_CONFIDENCE, CODE_CONFIDENCE, ACTION_SHARE, FULL_SCORE = "conversa", 0.9, 0.7, 0.8, 3.0
+# Words that speak for an intent by weight, chosen by us: what is asked for weighs 1, what is complained of or wished 0.6, what is spoken of 0.4.
+WORDS = {
+    "analisar": {1.0: "analisa analise analisar avalia avalie avaliar examina examine inspeciona inspecione audita audite confere confira", 0.6: "revisa revise olha olhe verifica verifique", 0.4: "qualidade problema problemas"},
+    "corrigir": {1.0: "conserta conserte consertar corrige corrija corrigir arruma arrume arrumar fix", 0.6: "quebrou travou falha falhando", 0.4: "erro erros bug bugs"},
+    "melhorar": {1.0: "melhora melhore melhorar otimiza otimize otimizar refatora refatore refatorar simplifica simplifique", 0.6: "limpa limpe enxuga acelera improve", 0.4: "lento legivel legível desempenho"},
+    "criar": {1.0: "cria crie criar gera gere gerar escreve escreva escrever monta monte implementa implemente", 0.6: "faz faça preciso quero", 0.4: "novo nova exemplo modelo"},
+    "explicar": {1.0: "explica explique explicar ensina ensine significa descreve descreva", 0.6: "entender entendi compreender", 0.4: "dúvida duvida conceito"},
 }
+INTENTS = {k: [(START + "(?:" + "|".join(w.split()) + ")" + STOP, weight) for weight, w in v.items()] for k, v in WORDS.items()}
+ACTIONS = ("corrigir", "melhorar")
 LANGUAGES = ("python", "javascript", "typescript", "java", "go", "rust", "ruby", "php", "sql", "bash", "html", "css")
 FENCE = r"(?s)```\w*\n(.*?)```"
 
@@ -29,9 +33,22 @@ def intent_scores(c: Column, table: dict[str, list[tuple[str, float]]] = INTENTS
 
 
 def intents(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, intencao, confianca: the best intent, "conversar" without any; a third of the score, 1 at most."""
-    best = messages.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.array_max(intent_scores(F.col(text_col))).alias("x"))
-    return best.select("id", F.when(F.col("x.score") > 0, F.col("x.intencao")).otherwise("conversar").alias("intencao"), F.round(F.least(F.lit(1.0), F.col("x.score") / 3), 2).alias("confianca"))
+    """id, intencao, confianca: the best intent, its score of FULL_SCORE being sure.
+
+    An action wins over an analysis it nearly equals. A message of no intent is talk, or asks for an analysis if it brings code.
+    """
+    from lavra.operators.codescan import looks_like_code
+
+    c = F.col(text_col)
+    code = fenced_code(c).isNotNull() | looks_like_code(c)
+    read = messages.filter(c.isNotNull()).select(F.col(id_col).alias("id"), intent_scores(c).alias("s"), code.alias("code"))
+    read = read.withColumn("x", F.array_max("s")).withColumn("of", F.map_from_entries(F.transform("s", lambda x: F.struct(x.intencao, x.score))))
+    kind = F.when((F.col("x.score") <= 0) & F.col("code"), "analisar").when(F.col("x.score") <= 0, TALK)
+    for action in ACTIONS:
+        of = F.col("of")[action]
+        kind = kind.when((of > 0) & (F.col("of")["analisar"] > 0) & (of >= F.round(F.col("of")["analisar"] * ACTION_SHARE, 6)), action)
+    sure = F.when((F.col("x.score") <= 0) & F.col("code"), CODE_CONFIDENCE).when(F.col("x.score") <= 0, TALK_CONFIDENCE).otherwise(F.round(F.least(F.lit(1.0), F.col("x.score") / FULL_SCORE), 2))
+    return read.select("id", kind.otherwise(F.col("x.intencao")).alias("intencao"), sure.alias("confianca"))
 
 
 def fenced_code(c: Column) -> Column:
@@ -39,6 +56,12 @@ def fenced_code(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, FENCE, 1), F.lit(""))
 
 
+def fenced_blocks(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, n (from 0), codigo of every fenced block."""
+    blocks = F.regexp_extract_all(F.col(text_col), F.lit(FENCE), F.lit(1))
+    return messages.select(F.col(id_col).alias("id"), F.posexplode(blocks).alias("n", "codigo"))
+
+
 def without_fenced_code(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, FENCE, ""))
 
@@ -56,22 +79,23 @@ def file_mention(c: Column) -> Column:
     return F.nullif(F.regexp_extract(c, r"([\w\-]+\.(?:py|js|ts|java|go|rs|rb|php|sql|sh|html|css|json|ya?ml|xml|md))", 1), F.lit(""))
 
 
+# How a message states a preference: a phrase, a few words at most, and what is preferred. Patterns of our own.
+_FEW = r"(?:[\p{L}-]+\s+){0,3}?"
+NAME = r"(?i)" + START + r"(?:me\s+chamo|chamo-me|meu\s+nome\s+(?:é|eh)|me\s+chame\s+de|aqui\s+(?:é|fala)\s+[oa])\s+(\p{L}+)"
+FAVOURITE = START + r"(?:prefiro|gosto|adoro|uso|programo|trabalho|desenvolvo)\s+" + _FEW + "(" + "|".join(LANGUAGES) + ")" + STOP
+STYLE = START + r"(?:seja|sê|fale|fala|explique|explica|responda|responde|mais|bem)\s+" + _FEW + r"(simpl|detalh|t[eé]cnic)"
+NO_EMOJI = START + r"(?:sem|não|nao|nunca|dispenso|evite|evita)\s+" + _FEW + "emoji"
+EMOJI = START + r"(?:use|usa|usar|com|quero|coloque|coloca|adoro)\s+" + _FEW + "emoji"
+
+
 def stated_preferences(messages: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """nome, linguagem, estilo, emojis that a message states, each null if it does not."""
     c, low = F.col(text_col), F.lower(F.col(text_col))
-
-    def any_of(*parts: str) -> Column:
-        out = F.lit(False)
-        for p in parts:
-            out = out | low.contains(p)
-        return out
-
-    name = F.nullif(F.regexp_extract(c, r"(?i)(?:me\s+chamo|meu\s+nome\s+[eé]|pode\s+me\s+chamar\s+de|sou\s+[oa])\s+([\p{L}]+)", 1), F.lit(""))
-    lang = F.regexp_extract(low, r"(?:prefiro|gosto\s+de|trabalho\s+com|uso\s+muito|minha\s+linguagem\s+[eé])\s+(\w+)", 1)
+    style = F.regexp_extract(low, STYLE, 2)
     return messages.select(
-        F.col(id_col).alias("id"), name.alias("nome"), F.when(lang.isin(*LANGUAGES), lang).alias("linguagem"),
-        F.when(any_of("seja simples", "explica simples", "mais simples"), "simples").when(any_of("seja detalhado", "explica tudo", "mais detalhes"), "detalhado").when(any_of("seja técnico", "fala técnico"), "tecnico").alias("estilo"),
-        F.when(any_of("sem emoji", "não usa emoji"), False).when(any_of("usar emoji", "usa emoji", "com emoji"), True).alias("emojis"),
+        F.col(id_col).alias("id"), F.nullif(F.regexp_extract(c, NAME, 2), F.lit("")).alias("nome"), F.nullif(F.regexp_extract(low, FAVOURITE, 2), F.lit("")).alias("linguagem"),
+        F.when(style == "simpl", "simples").when(style == "detalh", "detalhado").when(style.startswith("t"), "tecnico").alias("estilo"),
+        F.when(low.rlike(NO_EMOJI), False).when(low.rlike(EMOJI), True).alias("emojis"),
     )
 
 

@@ -22,11 +22,24 @@ def fix_blank_lines(c: Column) -> Column:
     return F.when(short.endswith("\n"), short).otherwise(F.concat(short, F.lit("\n")))
 
 
+# A name with its attributes, calls and indices.
+OPERAND = r"[A-Za-z_][\w.]*(?:\([^()\n]*\)|\[[^\[\]\n]*\])*"
+COMPARISONS = [
+    (rf"\bNone\s*==\s*({OPERAND})", "$1 is None"),
+    (rf"\bNone\s*!=\s*({OPERAND})", "$1 is not None"),
+    (r"[ \t]*==[ \t]*None\b", " is None"),
+    (r"[ \t]*!=[ \t]*None\b", " is not None"),
+    (rf"\b(if|elif|while)\s+({OPERAND})\s*==\s*True\s*:", "$1 $2:"),
+    (rf"\b(if|elif|while)\s+({OPERAND})\s*==\s*False\s*:", "$1 not $2:"),
+    (r"(?m)^([ \t]*)except[ \t]*:", "$1except Exception:"),
+]
+
+
 def fix_comparisons(c: Column) -> Column:
-    """Python: comparisons with None by identity, those with True and False dropped, bare except named."""
-    c = F.regexp_replace(F.regexp_replace(c, r"\s*!=\s*None\b", " is not None"), r"\s*==\s*None\b", " is None")
-    c = F.regexp_replace(F.regexp_replace(c, r"\b(\w+)\s*==\s*True\b", "$1"), r"\b(\w+)\s*==\s*False\b", "not $1")
-    return F.regexp_replace(c, r"(?m)^(\s*)except\s*:", "$1except Exception:")
+    """Python: comparisons with None by identity on either side, a condition that is one comparison with True or False without it, bare except named."""
+    for pattern, to in COMPARISONS:
+        c = F.regexp_replace(c, pattern, to)
+    return c
 
 
 def comment_out(c: Column, call: str, mark: str) -> Column:
@@ -34,8 +47,12 @@ def comment_out(c: Column, call: str, mark: str) -> Column:
     return F.regexp_replace(c, rf"(?m)^([ \t]*)({call}\s*\()", rf"$1{mark} $2")
 
 
-def fix_loose_equality(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"(?<![=!<>])==(?!=)", "==="), r"(?<![=!<>])!=(?!=)", "!==")
+JS_PARTS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*[\s\S]*?\*/|[=!<>]=+")
+
+
+def fix_loose_equality(files: DataFrame) -> DataFrame:
+    """JavaScript == and != as === and !==, outside strings and comments."""
+    return _per_file(files, lambda text: JS_PARTS.sub(lambda m: m[0] + "=" if m[0] in ("==", "!=") else m[0], text))
 
 
 def fix_var(c: Column) -> Column:
@@ -43,9 +60,34 @@ def fix_var(c: Column) -> Column:
     return F.regexp_replace(c, r"(?m)^(\s*)var\s+", "$1let ")
 
 
-def credentials_to_environment(c: Column) -> Column:
-    """Python literals of credential names, read from the environment under the same name instead."""
-    return F.regexp_replace(c, r"(?m)^(\s*)(\w*(?:password|senha|token|secret|api_key)\w*)\s*=\s*[\"'][^\"'\n]+[\"']", '$1$2 = os.environ.get("$2")')
+SECRET = r"\w*(?:senha|passw(?:or)?d|secret|token|api_?key)\w*"
+PYTHON_SECRET = re.compile(rf"(?im)^([ \t]*(?:\w+\.)*)({SECRET})([ \t]*(?::[ \t]*\w+[ \t]*)?=[ \t]*)(\"[^\"\n]+\"|'[^'\n]+')(?=[ \t]*(?:#|$))")
+JS_SECRET = re.compile(rf"(?im)(\b)({SECRET})([\"']?\s*[:=]\s*)(\"[^\"\n]+\"|'[^'\n]+')")
+
+
+def credentials_to_environment(files: DataFrame, language: str = "linguagem") -> DataFrame:
+    """id, conteudo: literals of credential names read from the environment instead, under the name in upper case.
+
+    Python files get the import of os that this needs, behind their comments, docstring and __future__ imports. Only Python,
+    JavaScript and TypeScript files are changed.
+    """
+
+    def one(text: str, lang: str | None) -> str:
+        if lang == "python":
+            done = PYTHON_SECRET.sub(lambda m: f'{m[1]}{m[2]}{m[3]}os.environ.get("{m[2].upper()}", "")', text)
+            return _with_import(done, "os") if done != text else text
+        if lang in ("javascript", "typescript"):
+            return JS_SECRET.sub(lambda m: f"{m[2]}{m[3]}process.env.{m[2].upper()}", text)
+        return text
+
+    return _per_file(files, one, language)
+
+
+def _with_import(text: str, module: str) -> str:
+    if re.search(rf"(?m)^\s*import\s+(?:\w+\s*,\s*)*{module}\b", text):
+        return text
+    head = re.match(r"(?:[ \t]*(?:#[^\n]*)?\n)*(?:[ \t]*(?:\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?''')[^\n]*\n)?(?:(?:[ \t]*(?:#[^\n]*)?\n)*from\s+__future__[^\n]*\n)*", text)
+    return f"{text[: head.end()]}import {module}\n{text[head.end() :]}"
 
 
 def drop_duplicate_imports(files: DataFrame) -> DataFrame:
@@ -57,26 +99,28 @@ def drop_duplicate_imports(files: DataFrame) -> DataFrame:
     return kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("linha", "texto"))), lambda x: x.texto), "\n").alias("conteudo"))
 
 
+# A JavaScript statement of one line that ends in a name, number, string or closing bracket.
+OPEN_STATEMENT = r"^\s*(?:break|const|continue|export\s+default|import|let|return|throw|var)\b(?:.*[\w)\]\"'`])?\s*$"
+
+
 def add_semicolons(c: Column) -> Column:
     """JavaScript statements of one line that lack their end mark, with it."""
-    opens = r"^\s*(const|let|var|return|throw)\s+"
-    ended = r"([;{,(\[]|//|\*/)\s*$"
-    return F.array_join(F.transform(F.split(c, "\n", -1), lambda x: F.when(x.rlike(opens) & ~x.rlike(ended), F.concat(F.regexp_replace(x, r"\s+$", ""), F.lit(";"))).otherwise(x)), "\n")
+    return F.array_join(F.transform(F.split(c, "\n", -1), lambda x: F.when(x.rlike(OPEN_STATEMENT), F.concat(F.regexp_replace(x, r"\s+$", ""), F.lit(";"))).otherwise(x)), "\n")
 
 
 def comment_console(c: Column) -> Column:
     return F.regexp_replace(c, r"(?m)^([ \t]*)(console\.(?:log|debug|warn)\s*\([^)\n]*\);?)", "$1// $2")
 
 
-def _per_file(files: DataFrame, rewrite: Callable[[str], str]) -> DataFrame:
-    """id, conteudo with each text rewritten by a function; in Arrow batches, nulls kept."""
+def _per_file(files: DataFrame, rewrite: Callable[..., str], *more: str) -> DataFrame:
+    """id, conteudo with each text rewritten by a function of it and of the columns more; in Arrow batches, nulls kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [None if t is None else rewrite(t) for t in b.column("conteudo").to_pylist()]
+            done = [None if t is None else rewrite(t, *x) for t, *x in zip(*(c.to_pylist() for c in b.columns[1:]))]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(done, pa.string())], ["id", "conteudo"])
 
-    return map_arrow(files.select("id", F.col("conteudo").cast("string").alias("conteudo")), run, f"id {files.schema['id'].dataType.simpleString()}, conteudo string")
+    return map_arrow(files.select("id", F.col("conteudo").cast("string").alias("conteudo"), *more), run, f"id {files.schema['id'].dataType.simpleString()}, conteudo string")
 
 
 def wrap_comments(files: DataFrame, mark: str = "#", width: int = 100) -> DataFrame:
@@ -143,6 +187,36 @@ def organise_imports(files: DataFrame) -> DataFrame:
     return _per_file(files, one)
 
 
+def generic_names(files: DataFrame) -> DataFrame:
+    """id, nomes: names that say nothing (one letter, tmp, temp, aux, var, data) given a value in a file, in order, each once."""
+    found = F.regexp_extract_all("conteudo", F.lit(r"(?m)(?:^|[^\w.])([a-z]|tmp|temp|aux|var|data)[ \t]*=(?:[^=]|$)"), F.lit(1))
+    return files.select("id", F.array_distinct(found).alias("nomes")).filter(F.size("nomes") > 0)
+
+
+def improve(files: DataFrame) -> DataFrame:
+    """id, linguagem, conteudo, score_antes, score_depois, mudou: the fixes of each file's language, and its score before and after.
+
+    Files of other languages than Python, JavaScript and TypeScript get what holds for all of them.
+    """
+    from lavra.operators.codescan import JS_RULES, PYTHON_RULES, detect_language, line_score
+
+    named = files.filter("conteudo is not null").select("id", "conteudo", detect_language(F.col("nome_arquivo"), F.col("conteudo")).alias("linguagem"))
+    script = F.col("linguagem").isin("javascript", "typescript")
+    c = F.col("conteudo")
+    python = comment_out(fix_comparisons(c), "print", "#")
+    js = add_semicolons(comment_console(fix_var(c)))
+    fixed = fix_blank_lines(F.when(F.col("linguagem") == "python", python).when(script, js).otherwise(c))
+    done = credentials_to_environment(named.select("id", "linguagem", fixed.alias("conteudo")))
+
+    def scores(table: DataFrame, name: str) -> DataFrame:
+        by_python, by_js = line_score(table, PYTHON_RULES), line_score(table, JS_RULES, "javascript")
+        return by_python.select("id", F.col("score").alias("p")).join(by_js.select("id", F.col("score").alias("j")), "id").select("id", F.struct("p", "j").alias(name))
+
+    both = named.join(done.select("id", F.col("conteudo").alias("novo")), "id").join(scores(named, "antes"), "id").join(scores(done, "depois"), "id")
+    of = lambda s: F.when(script, F.col(s).j).otherwise(F.col(s).p)
+    return both.select("id", "linguagem", F.col("novo").alias("conteudo"), of("antes").alias("score_antes"), of("depois").alias("score_depois"), (F.col("novo") != c).alias("mudou"))
+
+
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     """id, linhas_antes, linhas_depois, mudou of each rewritten file."""
     n = lambda c: F.size(F.split(c, "\n", -1)).cast("long")

@@ -47,6 +47,15 @@ def low_sql(x: str) -> str:
     return LOW.format(x)
 
 
+def looks_sql(x: str) -> str:
+    lines = f"string_split({x}, chr(10))"
+    return f"(len({lines}) >= 2 and len(list_filter({lines}[1:5], lambda x: regexp_matches(x, {sql_text(codescan.CODE_LINE)}))) >= 2)"
+
+
+def sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 # --- sources ---------------------------------------------------------------------------------------------------------
 
 
@@ -92,9 +101,9 @@ def article_clip(t: Tables) -> DataFrame:
     return t.documents.filter(F.length("text") > 100).select("doc_id", F.substring(F.regexp_replace("text", r"\n{3,}", "\n\n"), 1, 5000).alias("texto"))
 
 
-@query()
 def wiki_extract(t: Tables) -> DataFrame:
-    return markup.wiki_paragraphs(t.documents.filter("genero = 'wiki'"), "doc_id", "text")
+    """Paragraphs of every document read as a wiki page."""
+    return markup.wiki_paragraphs(t.documents, "doc_id", "text")
 
 
 @query("select id, cast((row_number() over (order by id) - 1) // 512 as bigint) as pagina from exemplos where length(texto) >= 10")
@@ -508,7 +517,7 @@ def code_tokens(t: Tables) -> DataFrame:
     return each.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("token").alias("distintos"))
 
 
-@query()
+@query(f"select id, {looks_sql('texto')} as codigo from exemplos where texto is not null")
 def looks_like_code(t: Tables) -> DataFrame:
     return t.exemplos.filter("texto is not null").select("id", codescan.looks_like_code(F.col("texto")).alias("codigo"))
 
@@ -572,11 +581,12 @@ def rag_context(t: Tables) -> DataFrame:
 
 
 @query(
-    "with s as (select id, "
+    "with s as (select id, (nullif(regexp_extract(conteudo, " + sql_text(intent.FENCE) + ", 1), '') is not null or " + looks_sql("conteudo") + ") as code, "
     + ", ".join("round(" + " + ".join(f"case when regexp_matches(lower(conteudo), '{p}') then {w} else 0.0 end" for p, w in marks) + f", 6) as {name}" for name, marks in intent.INTENTS.items())
-    + f" from historico where conteudo is not null), m as (select *, greatest({', '.join(intent.INTENTS)}) as top from s) select id, case when top <= 0 then 'conversar' "
+    + f" from historico where conteudo is not null), m as (select *, greatest({', '.join(intent.INTENTS)}) as top from s) select id, case when top <= 0 and code then 'analisar' when top <= 0 then '{intent.TALK}' "
+    + " ".join(f"when {a} > 0 and analisar > 0 and {a} >= round(analisar * {intent.ACTION_SHARE}, 6) then '{a}'" for a in intent.ACTIONS) + " "
     + " ".join(f"when {name} = top then '{name}'" for name in intent.INTENTS)
-    + " end as intencao, cast(round(least(1.0, top / 3.0), 2) as double) as confianca from m"
+    + f" end as intencao, cast(case when top <= 0 and code then {intent.CODE_CONFIDENCE} when top <= 0 then {intent.TALK_CONFIDENCE} else round(least(1.0, top / {intent.FULL_SCORE}), 2) end as double) as confianca from m"
 )
 def intents(t: Tables) -> DataFrame:
     return intent.intents(t.historico, "id", "conteudo")
@@ -602,7 +612,11 @@ def filename_mention(t: Tables) -> DataFrame:
     return t.contexto_codigo.select("id", intent.file_mention(F.col("conteudo")).alias("arquivo"))
 
 
-@query()
+@query(
+    f"""select id, nullif(regexp_extract(conteudo, {sql_text(intent.NAME)}, 2), '') as nome, nullif(regexp_extract(lower(conteudo), {sql_text(intent.FAVOURITE)}, 2), '') as linguagem,
+    case regexp_extract(lower(conteudo), {sql_text(intent.STYLE)}, 2) when 'simpl' then 'simples' when 'detalh' then 'detalhado' when 'técnic' then 'tecnico' when 'tecnic' then 'tecnico' end as estilo,
+    case when regexp_matches(lower(conteudo), {sql_text(intent.NO_EMOJI)}) then false when regexp_matches(lower(conteudo), {sql_text(intent.EMOJI)}) then true end as emojis from historico"""
+)
 def pref_extract(t: Tables) -> DataFrame:
     return intent.stated_preferences(t.historico, "id", "conteudo")
 
@@ -619,7 +633,7 @@ LANGUAGE_SQL = (
     "with e as (select id, conteudo, lower(case when contains(nome_arquivo, '.') then list_last(string_split(nome_arquivo, '.')) end) as ext from contexto_codigo), s as (select id, conteudo, case "
     + " ".join(f"when ext in ({', '.join(repr(x) for x in exts.split())}) then '{lang}'" for lang, exts in codescan.EXTENSIONS.items())
     + " end as por_nome, "
-    + ", ".join(" + ".join("len(regexp_extract_all(conteudo, '(?im)" + m.replace("'", "''") + "'))" for m in marks) + f' as "{lang}"' for lang, marks in codescan.MARKS.items())
+    + ", ".join("len(regexp_extract_all(conteudo, '" + mark.replace("'", "''") + f"')) as \"{lang}\"" for lang, mark in codescan.MARKS.items())
     + " from e), m as (select *, greatest("
     + ", ".join(f'"{x}"' for x in codescan.MARKS)
     + ") as top from s) select id, coalesce(por_nome, case when conteudo is null then null when top = 0 then 'desconhecida' "
@@ -688,7 +702,7 @@ def lint_sql(rules: list[tuple[str, str, str | None, int]]) -> str:
     """The rules as one branch each."""
     parts = []
     for name, pattern, unless, severity in rules:
-        but = f" and not regexp_matches(texto, '{unless}')" if unless else ""
+        but = f" and not regexp_matches(texto, '{unless.replace(chr(39), chr(39) * 2)}')" if unless else ""
         parts.append(f"select id, cast(linha as integer) as linha, '{name}' as regra, {severity} as severidade from l where regexp_matches(texto, '{pattern.replace(chr(39), chr(39) * 2)}'){but}")
     return f"with {LINES_SQL} " + " union all ".join(parts)
 
@@ -716,7 +730,7 @@ def lint_summary(t: Tables) -> DataFrame:
 JS_SQL = "coalesce(" + ", ".join(f"nullif(regexp_extract(texto, '{p}', 1), '')" for p in codescan.JS_FORMS) + ")"
 
 
-@query(f"with {LINES_SQL} select id, cast(linha as integer) as linha, {JS_SQL} as nome from l where {JS_SQL} is not null")
+@query(f"with {LINES_SQL} select id, cast(linha as integer) as linha, {JS_SQL} as nome from l where {JS_SQL} is not null and {JS_SQL} not in {codescan.JS_CONTROL}")
 def js_functions(t: Tables) -> DataFrame:
     return codescan.js_functions(t.contexto_codigo)
 
@@ -755,7 +769,7 @@ def suggestions(t: Tables) -> DataFrame:
     - 0.3::double * greatest(0, coalesce(profundidade, 0) - 5) - case when coalesce(maior, 0) > 100 then 1 else 0 end)), 6) as score from cx left join w using (id) left join de using (id) left join lo using (id)"""
 )
 def quality_score(t: Tables) -> DataFrame:
-    return codescan.quality_score(t.contexto_codigo, codescan.lint(t.contexto_codigo, codescan.PYTHON_RULES))
+    return codescan.line_score(t.contexto_codigo, codescan.PYTHON_RULES)
 
 
 PYTHON_FUNCTIONS_SQL = f"""{LINES_SQL}, v as (select *, lead(texto) over (partition by id order by linha) as proxima, max(linha) over (partition by id) as total from l), h as (select *, regexp_extract(texto, '{codescan.FUNCTIONS['python']}', 1) as nome,
@@ -815,7 +829,14 @@ def fix_blank_lines(t: Tables) -> DataFrame:
     return t.contexto_codigo.select("id", rewrite.fix_blank_lines(F.col("conteudo")).alias("conteudo"))
 
 
-@query()
+def _nested_sql(column: str, steps: list[tuple[str, str]]) -> str:
+    """The steps as regular-expression replacements in SQL."""
+    for pattern, to in steps:
+        column = f"regexp_replace({column}, {sql_text(pattern)}, {sql_text(to.replace('$', chr(92)))}, 'g')"
+    return column
+
+
+@query(f"select id, {_nested_sql('conteudo', rewrite.COMPARISONS)} as conteudo from contexto_codigo")
 def fix_python_cmp(t: Tables) -> DataFrame:
     return t.contexto_codigo.select("id", rewrite.fix_comparisons(F.col("conteudo")).alias("conteudo"))
 
@@ -827,7 +848,7 @@ def fix_prints(t: Tables) -> DataFrame:
 
 @query()
 def fix_js_eq(t: Tables) -> DataFrame:
-    return t.contexto_codigo.select("id", rewrite.fix_loose_equality(F.col("conteudo")).alias("conteudo"))
+    return rewrite.fix_loose_equality(t.contexto_codigo)
 
 
 @query(r"select id, regexp_replace(conteudo, '(?m)^(\s*)var\s+', '\1let ', 'g') as conteudo from contexto_codigo")
@@ -836,8 +857,8 @@ def fix_js_var(t: Tables) -> DataFrame:
 
 
 @query(
-    r"""select id, array_to_string(list_transform(string_split(conteudo, chr(10)), lambda x: case when regexp_matches(x, '^\s*(const|let|var|return|throw)\s+') and not regexp_matches(x, '([;{,(\[]|//|\*/)\s*$')
-    then regexp_replace(x, '\s+$', '') || ';' else x end), chr(10)) as conteudo from contexto_codigo"""
+    f"""select id, array_to_string(list_transform(string_split(conteudo, chr(10)), lambda x: case when regexp_matches(x, {sql_text(rewrite.OPEN_STATEMENT)})
+    then regexp_replace(x, '\\s+$', '') || ';' else x end), chr(10)) as conteudo from contexto_codigo"""
 )
 def fix_semicolons(t: Tables) -> DataFrame:
     return t.contexto_codigo.select("id", rewrite.add_semicolons(F.col("conteudo")).alias("conteudo"))
@@ -870,8 +891,15 @@ def fix_import_order(t: Tables) -> DataFrame:
 
 @query()
 def refactor_delta(t: Tables) -> DataFrame:
-    done = t.contexto_codigo.select("id", rewrite.fix_blank_lines(rewrite.fix_comparisons(F.col("conteudo"))).alias("conteudo"))
-    return rewrite.changed(t.contexto_codigo, done)
+    """What the fixes of each file's language change, and the scores before and after."""
+    return rewrite.improve(t.contexto_codigo).withColumn("conteudo", F.md5("conteudo"))
+
+
+@query(
+    r"""select id, array_to_string(list_transform(list_sort(list_distinct(n)), lambda x: x), ',') as nomes from (select id, regexp_extract_all(conteudo, '(?m)(?:^|[^\w.])([a-z]|tmp|temp|aux|var|data)[ \t]*=(?:[^=]|$)', 1) as n from contexto_codigo) where len(n) > 0"""
+)
+def generic_names(t: Tables) -> DataFrame:
+    return rewrite.generic_names(t.contexto_codigo).select("id", F.array_join(F.array_sort("nomes"), ",").alias("nomes"))
 
 
 @query()
@@ -883,7 +911,8 @@ def subword_split(t: Tables) -> DataFrame:
 
 @query()
 def fix_credentials(t: Tables) -> DataFrame:
-    return t.contexto_codigo.select("id", rewrite.credentials_to_environment(F.col("conteudo")).alias("conteudo"))
+    named = t.contexto_codigo.withColumn("linguagem", codescan.detect_language(F.col("nome_arquivo"), F.col("conteudo")))
+    return rewrite.credentials_to_environment(named)
 
 
 @query(
@@ -895,12 +924,19 @@ def fix_dup_imports(t: Tables) -> DataFrame:
     return rewrite.drop_duplicate_imports(t.contexto_codigo.filter("conteudo is not null"))
 
 
-@query(r"select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', '', 'g'), 'https?://\S+', '', 'g'), '[ \t]+', ' ', 'g') as texto from documents")
+CLEAN_SQL = _nested_sql("text", [(r"\{\{[^\{\}]*?\}\}", "")] * 8 + [(r"\{\|[^\{\}]*?\|\}", "")] * 8 + [("(?ims)" + markup.MARKUP, "$1$2"), (markup.ENTITY, " "), (r"[ \t]+", " ")])
+
+
+@query(f"select doc_id, {CLEAN_SQL} as texto from documents")
 def clean_markup(t: Tables) -> DataFrame:
-    c = F.col("text")
-    for pattern, to in ((r"<[^>]+>", ""), (r"https?://\S+", ""), (r"[ \t]+", " ")):
-        c = F.regexp_replace(c, pattern, to)
-    return t.documents.select("doc_id", c.alias("texto"))
+    return t.documents.select("doc_id", markup.clean_markup(F.col("text")).alias("texto"))
+
+
+query(
+    f"""with c as (select doc_id as id, list_filter(list_transform(regexp_split_to_array({CLEAN_SQL}, '\\r?\\n'), lambda x: trim(x)), lambda x: length(x) >= 80 and not starts_with(x, '|') and not starts_with(x, '!')
+    and length(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) / length(x) > 0.6) as p from documents where text is not null and not starts_with(lower(text), '#redirect'))
+    select id, cast(unnest(range(len(p))) as integer) as n, unnest(p) as paragrafo from c"""
+)(wiki_extract)
 
 
 @query(f"select doc_id, " + "regexp_replace(" * 8 + "text" + r", '\{\{[^\{\}]*?\}\}', '', 'g')" * 8 + " as texto from documents")
