@@ -22,13 +22,19 @@ def global_shuffle(corpus: DataFrame, seed: int, epoch: int) -> DataFrame:
     return ranked(spread, ["__key", "id"], "posicao").drop("__key")
 
 
-def batch_numbers(pages: DataFrame, batch: int) -> DataFrame:
-    """lote of each row, counted over pages; a batch never spans two pages."""
+def batch_numbers(pages: DataFrame, batch: int, page: int | None = None) -> DataFrame:
+    """lote of each row, counted over pages; a batch never spans two pages.
+
+    With the size of a page (all but the last have it) and rows numbered by `rank`, the number follows from the rank alone.
+    Without, rows are counted in their page, and pages by their sizes, one number each.
+    """
+    if page and "rank" in pages.columns:
+        return pages.withColumn("lote", F.expr(f"cast((rank - 1) div {page} * {-(-page // batch)} + pmod(rank - 1, {page}) div {batch} + 1 as long)"))
     w = Window.partitionBy("pagina").orderBy("id")
-    inside = pages.withColumn("__k", F.expr(f"cast((row - 1) div {batch} as long)") if "row" in pages.columns else F.floor((F.row_number().over(w) - 1) / batch))
-    per_page = inside.groupBy("pagina").agg(F.max("__k").alias("__last"))
-    before = per_page.withColumn("__before", F.sum(F.col("__last") + 1).over(Window.orderBy("pagina").rowsBetween(Window.unboundedPreceding, -1)))
-    return inside.join(before.select("pagina", "__before"), "pagina").withColumn("lote", (F.col("__k") + F.coalesce("__before", F.lit(0)) + 1).cast("long")).drop("__k", "__before")
+    inside = pages.withColumn("__k", F.floor((F.row_number().over(w) - 1) / batch))
+    per_page = inside.groupBy("pagina").agg((F.max("__k") + 1).alias("__n"))
+    before = ranked(per_page, ["pagina"], "__at", sums="__n").select("pagina", "__before")
+    return inside.join(before, "pagina").withColumn("lote", (F.col("__k") + F.col("__before") + 1).cast("long")).drop("__k", "__before")
 
 
 def pad_or_cut(ids: Column, n: int, pad: int = PAD) -> Column:

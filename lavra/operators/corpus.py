@@ -94,10 +94,22 @@ def first_of_each(df: DataFrame, key: Column, order: str = "id") -> DataFrame:
     return df.join(first.select(order), order, "left_semi")
 
 
+#: Hashes sent to every task by a broadcast, at most; above, the same join is shuffled.
+BROADCAST_HASHES = 2_000_000
+
+
 def insert_ignore(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of new that an insert would add: one per text, none that exists. Texts meet by hash, then in full."""
-    fresh = first_of_each(new, F.struct(F.xxhash64("texto").alias("h"), F.col("texto")))
-    return fresh.join(existing.select("texto").distinct(), "texto", "left_anti")
+    """Rows of new that an insert would add: one per text, none that exists.
+
+    What exists is read where it lies: only its rows whose hash is among those of the new ones (sent to it if within the bound)
+    are moved, and those are compared by the whole text.
+    """
+    fresh = first_of_each(new, F.struct(F.xxhash64("texto").alias("h"), F.col("texto"))).withColumn("__h", F.xxhash64("texto"))
+    hashes = new.select(F.xxhash64("texto").alias("__h")).distinct()
+    if hashes.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
+        hashes = F.broadcast(hashes)
+    known = existing.select(F.xxhash64("texto").alias("__h"), "texto").join(hashes, "__h", "left_semi").distinct()
+    return fresh.join(known, ["__h", "texto"], "left_anti").drop("__h")
 
 
 def pending_topics(topics: DataFrame, corpus: DataFrame, prefix: str = "wikipedia:") -> DataFrame:
@@ -134,13 +146,21 @@ def pages(corpus: DataFrame, size: int) -> DataFrame:
     return ranked(corpus, ["id"]).withColumn("pagina", F.expr(f"cast((rank - 1) div {size} as long)"))
 
 
-def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """Row number by `order`, which must be total. Rows are range-partitioned and sorted; a row's place in its partition and
-    the sizes of the partitions before (one number each) give its rank, so no window holds more than those sizes."""
+def ranked(df: DataFrame, order: list[str], name: str = "rank", sums: str | None = None) -> DataFrame:
+    """Row number by `order`, which must be total; with sums also __before, the sum of that column over the rows before.
+
+    Rows are range-partitioned and sorted; a row's place in its partition and the sizes of the partitions before (one number
+    each) give its rank, so no window holds more than those sizes. Running sums are taken within a partition.
+    """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     placed = materialize(placed, "ranked").withColumn("__part", F.shiftright("__at", 33))
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(sizes.select("__part", before.alias("__before")))
+    total = F.sum(sums) if sums else F.lit(0)
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n_rows"), (total if sums else F.max(total)).alias("__sum"))
+    prior = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(sizes.select("__part", F.coalesce(F.sum("__n_rows").over(prior), F.lit(0)).alias("__start"), F.coalesce(F.sum("__sum").over(prior), F.lit(0)).alias("__base")))
     row = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(starts, "__part").withColumn(name, F.col("__before") + row + 1).drop("__at", "__part", "__before")
+    out = placed.join(starts, "__part").withColumn(name, F.col("__start") + row + 1)
+    if sums:
+        here = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumn("__before", F.col("__base") + F.coalesce(F.sum(sums).over(here), F.lit(0)))
+    return out.drop("__at", "__part", "__start", "__base")

@@ -381,7 +381,7 @@ def global_shuffle(t: Tables) -> DataFrame:
     select id, pagina, cast(dense_rank() over (order by pagina, k) as bigint) as lote from k"""
 )
 def batch_numbers(t: Tables) -> DataFrame:
-    return batches.batch_numbers(corpus.pages(t.exemplos, 60).select("id", "pagina"), 16).select("id", "pagina", "lote")
+    return batches.batch_numbers(corpus.pages(t.exemplos, 60).select("id", "pagina", "rank"), 16, 60).select("id", "pagina", "lote")
 
 
 IDS_SQL = "list_transform(list_filter(string_split(texto, ''), lambda x: x <> ''), lambda x: unicode(x) % 250 + 4)"

@@ -20,6 +20,35 @@ def test_batches_stay_in_their_page(spark):
     assert sorted(size) == list(range(1, 10)) and all(len(p) == 1 for p in size.values())
 
 
+def test_batch_numbers_from_ranks_equal_counted_ones(spark):
+    pages = corpus.pages(spark.range(250), 60)
+    counted = {(r.id, r.lote) for r in batches.batch_numbers(pages.select("id", "pagina"), 16).collect()}
+    assert counted == {(r.id, r.lote) for r in batches.batch_numbers(pages, 16, 60).collect()}
+
+
+def test_chunks_and_ranking_by_both_ways(spark, monkeypatch):
+    from lavra.operators import retrieval
+
+    texts = [None, "", " ", "a" * 300, "b" * 301, "casa azul 😀 " * 60, "casa verde\n" * 20, "ponte", "ponte azul"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = retrieval.chunks(docs, "doc_id", "text")
+    got = sorted(map(tuple, table.collect()))
+    expected = []
+    for i, t in enumerate(texts):
+        n = 0 if not t else 1 if len(t) <= 300 else -(-(len(t) - 300) // 150) + 1
+        expected += [(i, k, x) for k in range(n) if (x := t[k * 150 : k * 150 + 300].strip())]
+    assert got == expected
+    asked = spark.createDataFrame([(1, "casa azul"), (2, "ponte"), (3, "nada disso"), (4, None), (5, "")], "item_id int, texto string")
+    sent = sorted(map(tuple, retrieval.rank_chunks(table, asked, "item_id", "texto").collect()))
+    monkeypatch.setattr(retrieval, "SENT_TOKENS", 0)
+    assert sent == sorted(map(tuple, retrieval.rank_chunks(table, asked, "item_id", "texto").collect())) and {r[0] for r in sent} == {1, 2}
+    changed = retrieval.with_documents(retrieval.without_documents(table, spark.createDataFrame([(7,)], "doc_id long")), spark.createDataFrame([(8, "lago"), (9, "novo")], "doc_id long, text string"), "doc_id", "text")
+    assert {(r.doc_id, r.trecho) for r in changed.filter("doc_id > 6").collect()} == {(8, "lago"), (9, "novo")}
+    before = retrieval.document_frequencies(retrieval.term_frequencies(table, ["doc_id", "chunk_no"], "trecho"))
+    after = retrieval.changed_frequencies(before, changed.filter("doc_id > 7"), table.filter("doc_id > 6"))
+    assert {tuple(r) for r in after.collect()} == {tuple(r) for r in retrieval.document_frequencies(retrieval.term_frequencies(changed, ["doc_id", "chunk_no"], "trecho")).collect()}
+
+
 def test_training_rows(spark):
     df = spark.createDataFrame([(1, ""), (2, "ab"), (3, "x" * 50)], "id int, texto string")
     for r in batches.training_rows(df, batches.char_ids(F.col("texto")), 8).collect():
