@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -9,6 +11,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 SMALL_PIECE = 1 << 18
 
@@ -19,7 +22,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_lavra_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
-    at = Path(tempfile.mkdtemp(prefix="lavra-ship-")) / f"{root.name}.zip"
+    folder = tempfile.mkdtemp(prefix="lavra-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    at = Path(folder) / f"{root.name}.zip"
     with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, str(f.relative_to(root.parent)))
@@ -27,7 +32,7 @@ def ship(spark: SparkSession) -> None:
     context._lavra_shipped = True
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow with this package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)

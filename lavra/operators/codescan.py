@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lavra.session import spread
+
 # File extensions of each language.
 EXTENSIONS = {
     "python": "py pyw", "javascript": "js mjs cjs", "typescript": "ts tsx", "java": "java", "c": "c h", "cpp": "cpp cc cxx hpp", "csharp": "cs", "go": "go",
@@ -213,7 +215,7 @@ def file_measures(files: DataFrame, language: str = "python", rules: list[tuple[
 
     A file is read once, in its own row: no line leaves it, so nothing is shuffled or joined.
     """
-    row = files.filter("conteudo is not null").select("id", "conteudo", F.split(F.regexp_replace("conteudo", "\r", ""), "\n", -1).alias("ls"))
+    row = spread(files.filter("conteudo is not null").select("id", "conteudo")).select("id", "conteudo", F.split(F.regexp_replace("conteudo", "\r", ""), "\n", -1).alias("ls"))
     found = F.filter(F.transform("ls", lambda x, i: F.struct((i + 1).alias("linha"), F.regexp_extract(x, FUNCTIONS.get(language, ANY_FUNCTION), 1).alias("nome"))), lambda x: x.nome != "")
     if language == "python":
         deep = F.array_max(F.transform(F.filter("ls", lambda x: F.trim(x) != ""), lambda x: F.floor((F.length(x) - F.length(F.regexp_replace(x, r"^\s+", ""))) / 4)))

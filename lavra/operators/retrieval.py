@@ -18,6 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lavra.functions import text as T
 from lavra.functions.arrow import map_arrow
+from lavra.session import materialize, spread
 
 # Fixed value: letters of a token.
 TOKEN = "[a-záéíóúàâêôãõüñçA-Z0-9_]+"
@@ -38,7 +39,7 @@ def chunks(df: DataFrame, id_col: str, text_col: str, size: int = 300, step: int
     if size % step:
         raise ValueError("size must be a multiple of step")
     several = size // step
-    cut = df.select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("s")).filter("size(s) > 0")
+    cut = spread(df.select(id_col, text_col)).select(F.col(id_col).alias("doc_id"), F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{step}}}"), F.lit(0)).alias("s")).filter("size(s) > 0")
     first = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("s") - (several - 1)))
     windows = F.transform(first, lambda i: T.strip_column(F.array_join(F.slice("s", i, several), "")))
     return cut.select("doc_id", F.posexplode(windows).alias("chunk_no", "trecho")).filter("trecho <> ''")
@@ -87,8 +88,6 @@ def changed_frequencies(frequencies: DataFrame, added: DataFrame, removed: DataF
 
 def rank_chunks(chunk_table: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int = 3) -> DataFrame:
     """query id, rank, doc_id, chunk_no, score: the k best chunks for each query, ties by chunk order."""
-    from lavra.session import materialize
-
     # The empty token stands in every chunk: its frequency is the number of chunks.
     each = chunk_table.select(F.explode(F.array_append(F.array_distinct(_tokens("trecho")), F.lit(""))).alias("token"))
     vocabulary = materialize(each.groupBy("token").agg(F.count("*").alias("df")), "vocabulary")
@@ -106,8 +105,6 @@ def rank_chunks(chunk_table: DataFrame, queries: DataFrame, query_id: str, query
 
 def _scored_by_join(chunk_table: DataFrame, asked: DataFrame, weights: DataFrame, query_id: str) -> DataFrame:
     """query id, doc_id, chunk_no, score of every chunk that shares a token with a query."""
-    from lavra.session import materialize
-
     postings = term_frequencies(chunk_table, ["doc_id", "chunk_no"], "trecho")
     weighted = materialize(postings.join(weights, "token").select("doc_id", "chunk_no", "token", (F.col("tf") * F.col("idf")).alias("w")), "postings")
     norms = weighted.groupBy("doc_id", "chunk_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions.arrow import map_arrow
 from lavra.operators.codescan import code_lines
+from lavra.session import spread
 
 
 def fix_blank_lines(c: Column) -> Column:
@@ -120,7 +121,7 @@ def _per_file(files: DataFrame, rewrite: Callable[..., str], *more: str) -> Data
             done = [None if t is None else rewrite(t, *x) for t, *x in zip(*(c.to_pylist() for c in b.columns[1:]))]
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(done, pa.string())], ["id", "conteudo"])
 
-    return map_arrow(files.select("id", F.col("conteudo").cast("string").alias("conteudo"), *more), run, f"id {files.schema['id'].dataType.simpleString()}, conteudo string")
+    return map_arrow(spread(files.select("id", F.col("conteudo").cast("string").alias("conteudo"), *more)), run, f"id {files.schema['id'].dataType.simpleString()}, conteudo string")
 
 
 def wrap_comments(files: DataFrame, mark: str = "#", width: int = 100) -> DataFrame:

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,13 +69,16 @@ def tidy(spark: SparkSession) -> Iterator[None]:
 def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write df to the shared folder and return a scan of it, which cuts the lineage and keeps column pruning.
 
-    The files last until drop_materialized, or as long as the shared folder; a lost executor costs no recomputation.
+    The files last until drop_materialized, or till the program ends; a lost executor costs no recomputation.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lavra/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if not _written:
+        atexit.unregister(_drop_quietly)
+        atexit.register(_drop_quietly, spark)
     _written.append(path)
     with tidy(spark):
         writer.parquet(path)
@@ -88,3 +91,20 @@ def drop_materialized(spark: SparkSession) -> None:
     while _written:
         at = paths(_written.pop())
         at.getFileSystem(conf).delete(at, True)
+
+
+def _drop_quietly(spark: SparkSession) -> None:
+    """At the end of the program: what is left of its tables, if there still is a session to ask."""
+    with suppress(Exception):
+        drop_materialized(spark)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few splits over all cores, for work that costs far more than moving its input; else df as it is.
+
+    Large inputs have splits enough and are not moved. Plans that shuffle anyway are left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString() or df.isStreaming:
+        return df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
