@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from lavra.functions.arrow import map_arrow
 from lavra.llm import lexicon
 from lavra.llm.keypaths import GENERIC, leaves
+from lavra.session import spread
 
 MARK = "REDACTED"
 COMMON_WORDS = frozenset(w for words in lexicon.COMMON.values() for w in words)
@@ -524,7 +525,7 @@ def find_credentials(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             types = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64()))] + [pa.array(c, t) for c, t in zip(cols, types)], names)
 
-    return map_arrow(files, run, f"id {id_type}, line int, byte_start long, byte_end long, kind string, path string")
+    return map_arrow(spread(files), run, f"id {id_type}, line int, byte_start long, byte_end long, kind string, path string")
 
 
 def redact_files(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -536,4 +537,4 @@ def redact_files(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([redact(t) for t in batch.column("text").to_pylist()], pa.string())], ["id", "text"])
 
-    return map_arrow(files, run, f"id {id_type}, text string")
+    return map_arrow(spread(files), run, f"id {id_type}, text string")

@@ -24,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from lavra.functions.arrow import map_arrow
 from lavra.functions import codepoints as cp
 from lavra.llm.shingles import word_hashes
-from lavra.session import materialize
+from lavra.session import materialize, spread
 
 SHARD_BYTES = 1 << 20
 
@@ -200,7 +200,7 @@ def find_leaks(docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, it
                         ["doc_id", "item_id", "doc_word", "item_word", "n_words"],
                     )
 
-        return map_arrow(texts, run, schema)
+        return map_arrow(spread(texts), run, schema)
 
     context = docs.sparkSession.sparkContext
     blocks = _blocks(tests, block_words)

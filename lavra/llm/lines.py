@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lavra.functions import codepoints as cp
 from lavra.functions.arrow import SMALL_PIECE, lists, map_arrow
-from lavra.session import materialize
+from lavra.session import materialize, spread
 
 LLR_BIN = 0.125
 LLR_TOP = 4000.0
@@ -64,7 +64,7 @@ def keyed_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, min_
                 )
 
     id_type = rows.schema["id"].dataType.simpleString()
-    return map_arrow(rows, run, f"id {id_type}, source string, lines array<int>, keys array<long>")
+    return map_arrow(spread(rows), run, f"id {id_type}, source string, lines array<int>, keys array<long>")
 
 
 def _llr(a: str, b: str, m: str, n: str) -> str:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from lavra.functions import codepoints as cp
 from lavra.functions.arrow import SMALL_PIECE, map_arrow
 from lavra.llm.shingles import shingle_hashes, word_hashes
-from lavra.session import materialize, tidy
+from lavra.session import materialize, spread, tidy
 
 HASH_BITS = 40
 SLOT_BITS = 21
@@ -210,7 +210,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, t
         raise ValueError("threshold must be in (0, 1]")
     least = max(min_words or words, words)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull() & (F.length("text") >= 2 * least - 1))
-    texts = texts.withColumn("raw", F.xxhash64("text"))
+    texts = spread(texts.withColumn("raw", F.xxhash64("text")))
     levels = spark.sparkContext.broadcast(shingle_levels(texts, words, least))
     docs = materialize(fingerprints(texts, levels, words, least, block_rows), "fingerprints")
     if docs.groupBy("h1").agg(F.min("h2").alias("lo"), F.max("h2").alias("hi")).filter("lo <> hi").limit(1).count():

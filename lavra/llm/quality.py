@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from lavra.functions import codepoints as cp
 from lavra.functions.arrow import SMALL_PIECE, map_arrow
 from lavra.llm import lexicon
+from lavra.session import spread
 
 # Fixed values.
 LINE_END = ".!?…:;\"'”’»)"
@@ -114,7 +115,7 @@ def text_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(off, len(part)), *map(pa.array, stats)], ["id", *names])
 
     id_type = texts.schema["id"].dataType.simpleString()
-    return map_arrow(texts, run, f"id {id_type}, {COLUMNS}")
+    return map_arrow(spread(texts), run, f"id {id_type}, {COLUMNS}")
 
 
 def judge(stats: DataFrame, min_chars: int = 40) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lavra.functions import codepoints as cp
 from lavra.functions.arrow import SMALL_PIECE, map_arrow
 from lavra.llm.neardup import expand_classes
-from lavra.session import materialize
+from lavra.session import materialize, spread
 
 POSITION_BITS = 26
 SEGMENT = 1 << 22
@@ -135,7 +135,7 @@ def chosen(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFra
                     ["id", "h", "n_chars", "windows", "positions", "links"],
                 )
 
-    return map_arrow(texts, run, f"id {id_type}, h long, n_chars long, windows array<long>, positions array<int>, links array<long>")
+    return map_arrow(spread(texts), run, f"id {id_type}, h long, n_chars long, windows array<long>, positions array<int>, links array<long>")
 
 
 def _small(df: DataFrame) -> DataFrame:

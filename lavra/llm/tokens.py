@@ -24,6 +24,7 @@ from lavra.functions.arrow import SMALL_PIECE, map_arrow
 from lavra.functions.text import fold_column, strip_column
 from lavra.llm import languages, lexicon
 from lavra.llm.shingles import word_hashes
+from lavra.session import spread
 
 DEFAULT_VOCABULARY = os.path.join(os.environ.get("LAVRA_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_multi_50k.tiktoken")
 #: Distinct pieces a worker remembers by hash, at most; then it starts anew. Changes only the speed.
@@ -175,7 +176,7 @@ def with_token_counts(df: DataFrame, text_col: str, keep: list[str], path: str =
                     out.append(pa.array(names.tolist(), pa.string()))
                 yield pa.RecordBatch.from_arrays(out, [*keep, "n_tokens"] + ["language"] * language)
 
-    return map_arrow(rows, run, schema)
+    return map_arrow(spread(rows), run, schema)
 
 
 def token_budget(df: DataFrame, text_col: str, source_col: str, domain_col: str, path: str = DEFAULT_VOCABULARY, default_domain: str = "geral", model: languages.Model | None = None) -> DataFrame:
