@@ -58,8 +58,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         C.top_groups(corpus, "fonte", 10).show(truncate=False)
         C.count_by(corpus, "categoria").show()
     elif a.verb == "mark":
-        ids = spark.createDataFrame([(i,) for i in a.id], "id long") if a.id else None
-        writers.replace_corpus(spark, C.mark_used(corpus, ids, a.categoria), a.corpus)
+        if not (a.id or a.fonte or a.categoria):
+            p.error("say what to mark")
+        done = C.mark_used(corpus, spark.createDataFrame([(i,) for i in a.id], "id long")) if a.id else corpus
+        done = C.mark_used(done, source=a.fonte) if a.fonte else done
+        done = C.mark_used(done, category=a.categoria) if a.categoria else done
+        writers.replace_corpus(spark, done, a.corpus)
     elif a.verb == "remove":
         if not (a.id or a.fonte or a.categoria):
             p.error("say what to remove")

@@ -63,8 +63,11 @@ def without(corpus: DataFrame, column: str, value) -> DataFrame:
     return corpus.filter(~F.col(column).eqNullSafe(F.lit(value)))
 
 
-def mark_used(corpus: DataFrame, ids: DataFrame | None = None, category: str | None = None) -> DataFrame:
-    """usado_treino set to 1 for the given ids (a frame with the column id) or category."""
+def mark_used(corpus: DataFrame, ids: DataFrame | None = None, category: str | None = None, source: str | None = None) -> DataFrame:
+    """usado_treino set to 1 for the given ids (a frame with the column id), part of the source, or category."""
+    if source is not None:
+        hit = F.coalesce(T.like_any_case(F.col("fonte"), source), F.lit(False))
+        return corpus.withColumn("usado_treino", F.when(hit, 1).otherwise(F.col("usado_treino")))
     if ids is not None:
         hit = ids.select("id").distinct().withColumn("__hit", F.lit(True))
         return corpus.join(hit, "id", "left").withColumn("usado_treino", F.when(F.col("__hit"), 1).otherwise(F.col("usado_treino"))).drop("__hit")
@@ -164,3 +167,14 @@ def ranked(df: DataFrame, order: list[str], name: str = "rank", sums: str | None
         here = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
         out = out.withColumn("__before", F.col("__base") + F.coalesce(F.sum(sums).over(here), F.lit(0)))
     return out.drop("__at", "__part", "__start", "__base")
+
+
+def last_runs(runs: DataFrame, n: int = 5) -> DataFrame:
+    """The newest n rows of a log of tokenizer runs (id, data, ...)."""
+    return runs.orderBy(F.col("data").desc_nulls_last(), F.col("id").desc()).limit(n)
+
+
+def generated_texts(df: DataFrame, id_col: str, text_col: str, longer_than: int = 30, most: int = 5) -> DataFrame:
+    """id, n, texto: the first pieces of a generated answer that are long enough and no heading of the answer's form."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace(text_col, "\r", ""), r"\n\n"), lambda x: F.trim(x)), lambda x: (F.length(x) > longer_than) & ~F.upper(x).startswith("TEXTO"))
+    return df.select(F.col(id_col).alias("id"), F.posexplode(F.slice(parts, 1, most)).alias("n", "texto"))

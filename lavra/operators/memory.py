@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from lavra.functions import text as T
 
-# Default preferences.
+# Words that are true, and the default preferences as key, value and type.
 TRUE_WORDS = ("true", "1", "sim", "yes")
+DEFAULTS = [
+    ("nome_usuario", "Usuário", "str"), ("linguagem_favorita", "python", "str"), ("estilo_resposta", "tecnico", "str"), ("mostrar_emojis", "true", "bool"), ("max_historico", "50", "int"),
+    ("tema", "escuro", "str"), ("idioma", "pt-br", "str"), ("salvar_codigos", "true", "bool"), ("nivel_detalhe_relat", "completo", "str"), ("auto_corrigir", "false", "bool"),
+    ("linguagens_ativas", '["python","javascript","typescript"]', "json"),
+]
 
 
 def recent_messages(messages: DataFrame, n: int) -> DataFrame:
@@ -42,18 +47,42 @@ def context_window(messages: DataFrame, budget: float) -> DataFrame:
     return total.filter(F.col("acumulado") <= budget).drop("__k")
 
 
-def code_context(files: DataFrame, budget: int = 409, most: int = 3, summary: int = 200) -> DataFrame:
-    """The newest files of each session, whole while the budget lasts, else as a summary; the sum carries on."""
+def code_context(files: DataFrame, budget: int = 409, most: int = 3, summary: int = 200, used: Column | None = None) -> DataFrame:
+    """sessao_id, k, id, trecho: the newest files of each session, whole while the budget lasts, else as a summary, which costs nothing.
+
+    used is what the session has spent already, as an expression over a column of files.
+    """
     w = Window.partitionBy("sessao_id").orderBy(F.col("timestamp").desc_nulls_last(), F.col("id").desc())
-    top = files.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most)
-    listed = top.groupBy("sessao_id").agg(F.array_sort(F.collect_list(F.struct("k", "id", F.coalesce("conteudo", F.lit("")).alias("c")))).alias("f"))
+    top = files.withColumn("__used", (F.lit(0) if used is None else used).cast("long")).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most)
+    content = F.coalesce("conteudo", F.lit(""))
+    cost = F.greatest(F.lit(1), F.floor(F.length(content) / 4)).cast("long")
+    listed = top.groupBy("sessao_id").agg(F.max("__used").alias("u"), F.array_sort(F.collect_list(F.struct("k", "id", content.alias("c"), cost.alias("t")))).alias("f"))
     fold = F.expr(
-        f"aggregate(f, named_struct('used', 0L, 'out', cast(array() as array<struct<k: int, id: bigint, trecho: string>>)), (a, x) -> "
-        f"if(a.used + greatest(1L, length(x.c) div 4) <= {budget}, "
-        f"named_struct('used', a.used + greatest(1L, length(x.c) div 4), 'out', concat(a.out, array(named_struct('k', x.k, 'id', x.id, 'trecho', x.c)))), "
-        f"named_struct('used', a.used + greatest(1L, least({summary}, length(x.c)) div 4), 'out', concat(a.out, array(named_struct('k', x.k, 'id', x.id, 'trecho', substring(x.c, 1, {summary})))))))"
+        "aggregate(f, named_struct('used', u, 'whole', cast(array() as array<boolean>)), "
+        f"(a, x) -> named_struct('used', a.used + if(a.used + x.t <= {budget}, x.t, 0L), 'whole', array_append(a.whole, a.used + x.t <= {budget})))"
     )
-    return listed.select("sessao_id", F.explode(fold.getField("out")).alias("x")).select("sessao_id", "x.*")
+    each = listed.select("sessao_id", "f", fold.getField("whole").alias("whole")).select("sessao_id", "whole", F.posexplode("f").alias("n", "x"))
+    return each.select("sessao_id", "x.k", "x.id", F.when(F.get("whole", F.col("n")), F.col("x.c")).otherwise(T.shorten(F.col("x.c"), summary)).alias("trecho"))
+
+
+def context_records(messages: DataFrame, files: DataFrame, prefs: DataFrame, tokens: int = 2048) -> DataFrame:
+    """sessao_id, historico, arquivos, preferencias, tokens: what is told of each session: the newest messages that fit into seven
+    tenths of the tokens, oldest first; the newest files in what two tenths leave; and all preferences."""
+    fit = context_window(messages, 0.7 * tokens)
+    said = F.struct(F.col("timestamp"), F.col("id"), F.col("papel"), F.col("conteudo"))
+    history = fit.groupBy("sessao_id").agg(F.array_sort(F.collect_list(said)).alias("historico"), F.max("acumulado").alias("tokens"))
+    spent = files.join(history.select("sessao_id", F.col("tokens").alias("__spent")), "sessao_id", "left")
+    chosen = code_context(spent, int(0.2 * tokens), used=F.coalesce("__spent", F.lit(0)))
+    listed = chosen.groupBy("sessao_id").agg(F.array_sort(F.collect_list(F.struct("k", "id", "trecho"))).alias("arquivos"))
+    known = prefs.filter("chave is not null").groupBy().agg(F.map_from_entries(F.collect_list(F.struct("chave", "valor"))).alias("preferencias"))
+    joined = history.join(listed, "sessao_id", "left")
+    return joined.select("sessao_id", "historico", F.coalesce("arquivos", F.array().cast(listed.schema["arquivos"].dataType)).alias("arquivos"), known.scalar().alias("preferencias"), "tokens")
+
+
+def purge_sessions(ids: DataFrame, *tables: DataFrame) -> list[DataFrame]:
+    """Each table without the rows of the sessions in ids(sessao_id); rows of no session stay."""
+    gone = ids.select("sessao_id").distinct()
+    return [t.join(gone, "sessao_id", "left_anti") for t in tables]
 
 
 def languages_used(files: DataFrame) -> DataFrame:

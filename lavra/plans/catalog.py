@@ -328,12 +328,10 @@ def bpe_symbol_freq(t: Tables) -> DataFrame:
     return bpe.token_frequency(bpe.word_counts(t.documents, "text").select("n", bpe.symbols(F.col("palavra")).alias("tokens")))
 
 
-MERGES = [("o", "</w>"), ("a", "</w>"), ("e", "</w>"), ("r", "a"), ("d", "e</w>"), ("q", "u"), ("e", "n"), ("s", "</w>"), ("a", "s</w>"), ("ra", "r")]
-
-
 @query()
 def encode_docs(t: Tables) -> DataFrame:
-    return bpe.token_frequency(bpe.encode_words(bpe.word_counts(t.documents, "text"), MERGES))
+    """How often each token of a public vocabulary stands in all documents."""
+    return bpe.encode_texts(t.documents, "doc_id", "text", bpe.DEFAULT_VOCABULARY).select(F.explode("ids").alias("token_id")).groupBy("token_id").agg(F.count("*").alias("n"))
 
 
 @query(f"with w as ({WORDS_SQL}) select palavra as token, count(*) as n from w group by palavra order by n desc, palavra limit 30")
@@ -355,11 +353,20 @@ def encode_lookup(t: Tables) -> DataFrame:
     return coded.groupBy("token_id").agg(F.sum("k").alias("n"))
 
 
-@query()
+@query("select true as igual, count(*) as n from (select distinct unnest(regexp_extract_all(lower(text), '\\p{L}+')) as palavra from documents)".replace("\\\\", "\\"))
 def roundtrip(t: Tables) -> DataFrame:
-    """Words that encoding and decoding change: none."""
-    coded = bpe.encode_words(bpe.word_counts(t.documents, "text"), MERGES)
-    return coded.groupBy((bpe.decode(F.col("tokens")) == F.col("palavra")).alias("igual")).agg(F.count("*").alias("n"))
+    """Words of letters that encoding and decoding leave as they are: all."""
+    each = t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("id")).distinct()
+    back = bpe.decode_ids(bpe.encode_texts(each, "id", "id", bpe.DEFAULT_VOCABULARY), bpe.DEFAULT_VOCABULARY)
+    same = F.regexp_replace("text", " ", "") == F.col("id")
+    return back.groupBy(same.alias("igual")).agg(F.count("*").alias("n"))
+
+
+@query()
+def training_ids(t: Tables) -> DataFrame:
+    """Framed rows of real token ids: input, target shifted by one, and mask."""
+    coded = bpe.encode_texts(corpus.min_chars(t.exemplos, 10), "id", "texto", bpe.DEFAULT_VOCABULARY)
+    return batches.training_rows(coded, F.transform("ids", lambda x: x + len(bpe.SPECIALS)), 128).select("id", "input_ids", "target_ids", "attention_mask")
 
 
 # --- batches ---------------------------------------------------------------------------------------------------------
@@ -441,11 +448,34 @@ def context_window(t: Tables) -> DataFrame:
     return memory.context_window(t.historico.filter("sessao_id is not null"), 0.7 * 2048).select("sessao_id", "id", "acumulado")
 
 
-@query()
+@query(
+    """with r as (select sessao_id, id, coalesce(conteudo, '') as c, greatest(1, length(coalesce(conteudo, '')) // 4) as t, cast(row_number() over (partition by sessao_id order by "timestamp" desc nulls last, id desc) as integer) as k
+    from contexto_codigo where sessao_id is not null), a as (select sessao_id, max(t) filter (where k = 1) as t1, max(t) filter (where k = 2) as t2, max(t) filter (where k = 3) as t3 from r where k <= 3 group by sessao_id),
+    u as (select *, case when t1 <= 409 then t1 else 0 end as u1 from a), v as (select *, u1 + case when u1 + t2 <= 409 then t2 else 0 end as u2 from u)
+    select sessao_id, k, id, case when case k when 1 then t1 <= 409 when 2 then u1 + t2 <= 409 else u2 + t3 <= 409 end then c when length(c) > 200 then substr(c, 1, 200) || '...' else c end as trecho from r join v using (sessao_id) where k <= 3"""
+)
 def context_files(t: Tables) -> DataFrame:
     return memory.code_context(t.contexto_codigo.filter("sessao_id is not null"))
 
 
+@query()
+def context_record(t: Tables) -> DataFrame:
+    """Sizes of what is told of each session."""
+    told = memory.context_records(t.historico.filter("sessao_id is not null"), t.contexto_codigo.filter("sessao_id is not null"), t.preferencias)
+    return told.select("sessao_id", F.size("historico").alias("mensagens"), F.size("arquivos").alias("arquivos"), F.size("preferencias").alias("preferencias"), "tokens")
+
+
+@query(
+    "with s as (select sessao_id from sessoes where total_mensagens is null) "
+    + " union all ".join(f"select '{t}' as tabela, count(*) as restam from {t} where sessao_id is null or sessao_id not in (select sessao_id from s where sessao_id is not null)" for t in ("contexto_codigo", "historico", "sessoes"))
+)
+def session_purge(t: Tables) -> DataFrame:
+    names = ("contexto_codigo", "historico", "sessoes")
+    left = memory.purge_sessions(t.sessoes.filter("total_mensagens is null"), *(getattr(t, n) for n in names))
+    counts = [x.agg(F.count("*").alias("restam")).select(F.lit(n).alias("tabela"), "restam") for n, x in zip(names, left)]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
 @query("""select chave, max_by(valor, atualizado_em) as valor from (select chave, valor, atualizado_em from preferencias union all select chave, 'novo', atualizado_em + interval 1 day from preferencias where tipo_valor = 'str') group by chave""")
 def prefs_upsert(t: Tables) -> DataFrame:
     p = t.preferencias
@@ -453,9 +483,12 @@ def prefs_upsert(t: Tables) -> DataFrame:
     return memory.upsert_preferences(p, changes).select("chave", "valor")
 
 
-@query("""select chave, valor from preferencias union all select * from (values ('estilo_resposta', 'tecnico'), ('max_historico', '50')) d(chave, valor) where chave not in (select chave from preferencias)""")
+@query(
+    "select chave, valor from preferencias union all select * from (values " + ", ".join(f"({sql_text(k)}, {sql_text(v)})" for k, v, _ in memory.DEFAULTS)
+    + ") d(chave, valor) where chave not in (select chave from preferencias where chave is not null)"
+)
 def prefs_defaults(t: Tables) -> DataFrame:
-    defaults = t.spark.createDataFrame([("estilo_resposta", "tecnico", "str", None), ("max_historico", "50", "int", None)], "chave string, valor string, tipo_valor string, atualizado_em timestamp")
+    defaults = t.spark.createDataFrame([(*d, None) for d in memory.DEFAULTS], "chave string, valor string, tipo_valor string, atualizado_em timestamp")
     return memory.with_default_preferences(t.preferencias, defaults).select("chave", "valor")
 
 
@@ -904,9 +937,9 @@ def generic_names(t: Tables) -> DataFrame:
 
 @query()
 def subword_split(t: Tables) -> DataFrame:
-    counts = bpe.word_counts(t.documents, "text")
-    known = sorted({a.replace(bpe.END, "") + b.replace(bpe.END, "") for a, b in MERGES} | set("abcdefghijklmnopqrstuvwxyz"))
-    return bpe.token_frequency(bpe.split_words(counts, known))
+    """Greedy longest pieces of every distinct word, by the plain pieces of a public vocabulary."""
+    known = [x.replace(bpe.END, "") for x in bpe.Vocabulary.load(bpe.DEFAULT_VOCABULARY).ids]
+    return bpe.token_frequency(bpe.split_words(bpe.word_counts(t.documents, "text"), sorted(set(known) - {""})))
 
 
 @query()
@@ -970,6 +1003,19 @@ def top_p(t: Tables) -> DataFrame:
     return kept.filter(F.round(F.col("massa") - F.col("p"), 9) < 0.9).select("id", "pos")
 
 
+@query(
+    f"""with {X_SQL}, y as (select id, pos, case when pos in (1, 5) then -1e9 when pos % 3 <> 0 then x when x > 0 then x / 1.1 else x * 1.1 end / 0.8 as x from x), e as (select id, pos, exp(x - max(x) over (partition by id)) as e from y),
+    p as (select id, pos, round(e / sum(e) over (partition by id), 9) as p from e), k as (select *, rank() over (partition by id order by p desc) as r from p),
+    m as (select id, pos, p, sum(p) over (partition by id order by p desc, pos rows unbounded preceding) as m from k where r <= 10), n as (select id, pos, p from m where round(m - p, 9) < 0.1)
+    select id, cast(pos as integer) as pos, round(p / sum(p) over (partition by id), 6) as p from n"""
+)
+def sampling(t: Tables) -> DataFrame:
+    """What the next token is drawn from, with two tokens forbidden and every third one seen."""
+    seen, forbidden = F.array(*map(F.lit, range(0, 64, 3))), F.array(F.lit(1), F.lit(5))
+    kept = numerics.sampling_chain(F.col("embedding"), seen, forbidden, share=0.1)
+    return t.embeddings.select(F.col("vec_id").alias("id"), F.explode(kept).alias("x")).select("id", "x.pos", F.round("x.p", 6).alias("p"))
+
+
 @query(f"with {X_SQL} select id, cast(pos as integer) as pos, round(case when pos % 3 <> 0 then x when x > 0 then x / 1.3 else x * 1.3 end, 6) as y from x")
 def rep_penalty(t: Tables) -> DataFrame:
     return numerics.repetition_penalty(numerics.exploded(t.embeddings, "vec_id", "embedding"), F.col("pos") % 3 == 0, 1.3).select("id", "pos", F.round("y", 6).alias("y"))
@@ -977,7 +1023,8 @@ def rep_penalty(t: Tables) -> DataFrame:
 
 @query(f"with {X_SQL} select id, cast(pos as integer) as pos, round((x - avg(x) over w) / sqrt(var_pop(x) over w + 1e-5), 6) as y from x window w as (partition by id)")
 def layernorm(t: Tables) -> DataFrame:
-    return numerics.layer_norm(numerics.exploded(t.embeddings, "vec_id", "embedding")).select("id", "pos", F.round("y", 6).alias("y"))
+    normal = t.embeddings.select(F.col("vec_id").alias("id"), F.posexplode(numerics.layer_norm_array(F.col("embedding"))).alias("pos", "y"))
+    return normal.select("id", "pos", F.round("y", 6).alias("y"))
 
 
 @query(f"with {X_SQL} select id, cast(pos as integer) as pos, round(0.5 * x * (1 + (exp(2 * u) - 1) / (exp(2 * u) + 1)), 6) as gelu, round(x / (1 + exp(-x)), 6) as silu from (select *, 0.7978845608028654 * (x + 0.044715 * x * x * x) as u from x)")
@@ -986,12 +1033,13 @@ def gelu(t: Tables) -> DataFrame:
     return x.select("id", "pos", F.round(numerics.gelu(F.col("x")), 6).alias("gelu"), F.round(numerics.silu(F.col("x")), 6).alias("silu"))
 
 
-@query(f"with {P_SQL} select id, round(-ln(p + 1e-9), 6) as perda from p where pos = 0")
+@query(f"with {P_SQL} select id, cast(pos as integer) as pos, round(-ln(p + 1e-9), 6) as perda from p")
 def cross_entropy(t: Tables) -> DataFrame:
-    return _probabilities(t).filter("pos = 0").select("id", F.round(numerics.cross_entropy(F.col("p")), 6).alias("perda"))
+    """The loss of each row for each token it may have to predict."""
+    return _probabilities(t).select("id", "pos", F.round(numerics.cross_entropy(F.col("p")), 6).alias("perda"))
 
 
-@query(f"with {P_SQL}, l as (select round(-ln(p + 1e-9), 6) as perda from p where pos = 0) select round(exp(least(avg(perda), 20)), 4) as perplexidade from l")
+@query(f"with {P_SQL}, l as (select round(-ln(p + 1e-9), 6) as perda from p) select round(exp(least(avg(perda), 20)), 4) as perplexidade from l")
 def perplexity(t: Tables) -> DataFrame:
     return cross_entropy(t).agg(F.round(numerics.perplexity(F.col("perda")), 4).alias("perplexidade"))
 

@@ -108,3 +108,13 @@ def spread(df: DataFrame) -> DataFrame:
     if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString() or df.isStreaming:
         return df
     return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+def send_file(spark: SparkSession, path: str) -> str:
+    """Send a file of the driver to all workers, once per session; returns the name SparkFiles finds it by."""
+    context = spark.sparkContext
+    sent = context.__dict__.setdefault("_lavra_files", set())
+    if path not in sent:
+        context.addFile(path)
+        sent.add(path)
+    return os.path.basename(path)

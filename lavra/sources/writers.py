@@ -19,9 +19,13 @@ def export_text(corpus: DataFrame, path: str, category: str | None = None) -> No
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """The corpus at path; an empty one if there is none yet."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+    """The corpus at path; an empty one if there is none yet. A replacement that was cut off between its two renames is undone."""
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    at, old = Path(path), Path(f"{path.rstrip('/')}.old")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at) and fs.exists(old):
+        fs.rename(old, at)
+    if not fs.exists(at):
         return spark.createDataFrame([], CORPUS)
     return spark.read.schema(CORPUS).parquet(path)
 
@@ -57,3 +61,13 @@ def replace_corpus(spark: SparkSession, corpus: DataFrame, path: str) -> None:
         fs.rename(Path(path), Path(old))
     fs.rename(Path(beside), Path(path))
     fs.delete(Path(old), True)
+
+
+def write_paragraphs(paragraphs: DataFrame, path: str, column: str = "paragrafo") -> None:
+    """One paragraph on each line."""
+    paragraphs.select(F.regexp_replace(column, r"[\r\n]+", " ").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_table(df: DataFrame, path: str) -> None:
+    """A vocabulary, merges, index or model table as JSON lines, read again by spark.read.schema(...).json."""
+    df.write.mode("overwrite").json(path)
