@@ -50,7 +50,7 @@ SIGNS = {
     "go": [r":=", r"(?m)^package\s+\w+\s*$"],
     "rust": [r"->\s*\w+", r"&(?:mut|str)\b"],
     "ruby": [r"(?m)^\s*end\s*$", r"\bdo\s*\|\w+"],
-    "php": [r"\$\w+\s*(?:=|->)"],
+    "php": [r"<\?php", r"\$\w+\s*(?:=|->|;|as\b)"],
     "swift": [r"\b(?:let|var)\s+\w+\s*:\s*[A-Z]\w*"],
     "kotlin": [r"\bval\s+\w+\s*[:=]"],
     "bash": [r"(?m)^#!.*\b(?:ba|z|k)?sh\b", r"\$\{?[A-Za-z_]\w*"],

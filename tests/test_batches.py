@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lavra.operators import batches, bpe, corpus, memory, numerics, rewrite
@@ -85,3 +87,9 @@ def test_probabilities(spark):
     p = df.select("id", F.posexplode(numerics.softmax(F.col("v"))).alias("pos", "p"))
     assert abs(sum(r.p for r in p.collect()) - 1) < 1e-12
     assert sorted(r.pos for r in numerics.top_k(p, 1).collect()) == [2, 3] and sorted(r.pos for r in numerics.top_p(p, 0.5).collect()) == [2, 3]
+
+
+def test_ranks_without_a_global_window(spark):
+    ids = sorted(random.Random(2).sample(range(-50, 10_000), 500))
+    got = [(r.id, r.rank) for r in corpus.ranked(spark.createDataFrame([(i,) for i in ids], "id long").repartition(5), ["id"]).orderBy("id").collect()]
+    assert got == [(i, k + 1) for k, i in enumerate(ids)]
