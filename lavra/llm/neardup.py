@@ -225,7 +225,7 @@ def _pairs(docs: DataFrame, t: Fraction, block_rows: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, t: Fraction, block_rows: int, most_bits: int = MOST_BITS) -> DataFrame:
-    """Pairs of sets that share a block and pass the length and position filters."""
+    """Pairs of sets that share a block and pass the length and position filters; some twice, if they meet by one bit and by several."""
     num, den = t.numerator, t.denominator
     least = f"ceil(n * {num}L / {den}.0D)"
     sets = docs.filter("bits is not null").select(F.col("h1").alias("h"), "n", "rare", "bits")
@@ -260,14 +260,15 @@ def _candidates(docs: DataFrame, t: Fraction, block_rows: int, most_bits: int =
             outside = entry.filter(open_).join(large, "block", "left_anti").select(*entry.columns)
             # Sets so small that no more than these bits need be shared also meet by them.
             alone = entry.filter(f"not ({open_})").unionByName(outside).unionByName(inside.filter(f"{least} <= {shared}"))
-        pairs = meet(alone, shared - 1)
+        # Written level by level, so that the disk holds the shuffle files of one at a time.
+        pairs = materialize(meet(alone, shared - 1).distinct(), "candidates")
         met = pairs if met is None else met.unionByName(pairs)
         if not count:
             break
         further = F.expr(f"slice(bits, x.pos + 2, cast(n - {least} + {shared} as int) - x.pos)")
         each = inside.select("h", F.struct("pos", "block").alias("x")).join(sets, "h").select("h", "n", "x", F.posexplode(further).alias("k", "y"))
         entry = materialize(each.select("h", "n", F.expr("x.pos + 1 + k").alias("pos"), F.xxhash64("x.block", "y").alias("block")), "blocks")
-    return materialize(met.distinct(), "candidates")
+    return met
 
 
 def _close(docs: DataFrame, candidates: DataFrame, t: Fraction) -> DataFrame:
@@ -278,7 +279,7 @@ def _close(docs: DataFrame, candidates: DataFrame, t: Fraction) -> DataFrame:
     fb = folded.selectExpr("h1 as h_b", "f0 as b0", "f1 as b1", "f2 as b2", "f3 as b3")
     near = "+".join(f"bit_count(a{k} ^ b{k})" for k in range(4))
     within = candidates.join(fa, "h_a").join(fb, "h_b").filter(f"({near}) * {den + num}L <= (n_a + n_b) * {den - num}L")
-    return materialize(within.select("h_a", "h_b", "n_a", "n_b"), "close")
+    return materialize(within.select("h_a", "h_b", "n_a", "n_b").distinct(), "close")
 
 
 def _exact(docs: DataFrame, close: DataFrame, t: Fraction) -> DataFrame:
