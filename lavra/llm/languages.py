@@ -33,7 +33,7 @@ SPELLINGS = {
 LANGUAGES = tuple(SPELLINGS)
 SIDE = 28
 TRIGRAMS = SIDE**3
-#: Labelled rows the classifier is fitted on, at most, of each language.
+#: Different labelled texts the classifier is fitted on, about, of each language.
 SAMPLE = 3000
 LONG = 40
 ODD = 0.005
@@ -70,16 +70,19 @@ def _scores(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(labelled: DataFrame, text_col: str, label_col: str, sample: int = SAMPLE) -> Model:
-    """A classifier from labelled rows, at most `sample` of each language, chosen by a hash of the text."""
+    """A classifier from about `sample` different texts of each language, or all if there are fewer, chosen by a hash of the text."""
     name = fold_column(strip_column(F.col(label_col)))
     label = F.lit(None).cast("int")
     for k, names in enumerate(SPELLINGS.values()):
         label = F.when(name.isin(*names), k).otherwise(label)
     rows = labelled.select(label.alias("label"), F.col(text_col).cast("string").alias("text")).filter("label is not null and text is not null")
-    parts = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("text"), "text").limit(sample) for k in range(len(LANGUAGES))]
-    chosen = parts[0]
-    for part in parts[1:]:
-        chosen = chosen.unionByName(part)
+    rows = rows.withColumn("hash", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
+    # Of each language the share of different texts, by hash, that makes about the sample.
+    known = {r.label: r.n for r in rows.groupBy("label").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).collect()}
+    wanted = F.lit(False)
+    for k, n in known.items():
+        wanted = wanted | ((F.col("label") == k) & (F.col("hash") < int(min(1.0, sample / max(n, 1)) * (1 << 30))))
+    chosen = rows.filter(wanted).groupBy("label", F.xxhash64("text").alias("hash")).agg(F.any_value("text").alias("text")).select("label", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(LANGUAGES), TRIGRAMS), np.int64)
