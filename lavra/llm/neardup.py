@@ -234,15 +234,17 @@ def _candidates(docs: DataFrame, t: Fraction, block_rows: int, most_bits: int =
 
     def meet(entry: DataFrame, before: int) -> DataFrame:
         """Pairs of entries of a block; before: bits they share before the one at pos."""
-        entry = entry.select("h", "n", "pos", "block").repartition(parts, "block")
+        # Two numbers in one make the rows that are shuffled narrower.
+        entry = entry.select("h", F.expr("shiftleft(cast(n as long), 32) + pos").alias("np"), "block").repartition(parts, "block")
         a, b = entry.alias("a"), entry.alias("b")
+        na, nb, pa_, pb = "shiftright(a.np, 32)", "shiftright(b.np, 32)", "(a.np & 4294967295)", "(b.np & 4294967295)"
         return a.join(
             b,
             F.expr(
-                f"a.block = b.block and a.h < b.h and a.n * {den}L >= b.n * {num}L and b.n * {den}L >= a.n * {num}L"
-                f" and (least(a.n - a.pos, b.n - b.pos) + {before}) * {den + num}L >= (a.n + b.n) * {num}L"
+                f"a.block = b.block and a.h < b.h and {na} * {den}L >= {nb} * {num}L and {nb} * {den}L >= {na} * {num}L"
+                f" and (least({na} - {pa_}, {nb} - {pb}) + {before}) * {den + num}L >= ({na} + {nb}) * {num}L"
             ),
-        ).select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+        ).select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"), F.expr(f"cast({na} as int)").alias("n_a"), F.expr(f"cast({nb} as int)").alias("n_b"))
 
     entry = sets.withColumn("prefix", F.expr(f"slice(bits, 1, cast(n - {least} + 1 as int))")).select("h", "n", "rare", F.posexplode("prefix").alias("pos", "block"))
     met: DataFrame | None = None
