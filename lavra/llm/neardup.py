@@ -10,13 +10,16 @@ bits, so each of those is a block. The order puts rare shingles first, which kee
    cost: every order finds the same pairs.
 2. One scan writes per record the size, two hashes of the whole set, a 256-bit folded fingerprint and the ordered bits.
    A task keeps the bits of a repeated set once, so a group of copies adds no more block entries than there are tasks.
-3. Blocks are joined on (shuffled, sort-merged, split by AQE if skewed). Length and position filters drop pairs that
-   cannot reach t. A block of more than BLOCK_ROWS records is split by a further bit: a pair that shares k bits must share
+3. Blocks are joined on (shuffled, sort-merged, split by AQE if skewed), a share of them in each of up to ROUNDS rounds, so
+   that the disk holds the shuffle files of one share. Length and position filters drop pairs that cannot reach t, and so
+   does a 128-bit sketch that each entry carries: what is written follows the pairs that are alike, not the pairs that meet,
+   whose number grows faster than the input. A block of more than BLOCK_ROWS records is split by a further bit: a pair that shares k bits must share
    another one among its first |A| - ceil(t|A|) + k + 1. So a bit that ever more records have, as the collection grows,
    makes no ever larger block; only records that share MOST_BITS of their rarest bits meet however many they are. Which
    blocks are large is counted exactly, where step 1 leaves it open.
-4. The Hamming distance of the folded fingerprints never exceeds the true one and drops most of the rest; the distance of
-   the whole fingerprints decides.
+4. The Hamming distance of the folded fingerprints never exceeds the true one, nor does that of the sketches (the two halves
+   of the folded fingerprint, combined by exclusive or); it drops most of the rest, and the distance of the whole
+   fingerprints decides.
 
 Records with equal sets form a class. Pairs between classes come once, membership separately; `expanded_pairs` joins both.
 
@@ -52,7 +55,10 @@ BROADCAST_IDS = 1_000_000
 BLOCK_ROWS = 256
 MOST_BITS = 4
 #: Entries of blocks that a task reads, about.
-ENTRIES_A_TASK = 250_000
+ENTRIES_A_TASK = 500_000
+#: Entries of blocks that a round shuffles, at least, and rounds, at most; each round reads all fingerprints again.
+ENTRIES_A_ROUND = 6_000_000
+ROUNDS = 8
 
 
 def _batches(batches: Iterator[pa.RecordBatch], words: int, min_words: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -225,26 +231,28 @@ def _pairs(docs: DataFrame, t: Fraction, block_rows: int) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, t: Fraction, block_rows: int, most_bits: int = MOST_BITS) -> DataFrame:
-    """Pairs of sets that share a block and pass the length and position filters; some twice, if they meet by one bit and by several."""
+    """Pairs of sets that share a block and pass the filters of length, position and sketch; several times, if they meet in several rounds or by more bits."""
     num, den = t.numerator, t.denominator
     least = f"ceil(n * {num}L / {den}.0D)"
-    sets = docs.filter("bits is not null").select(F.col("h1").alias("h"), "n", "rare", "bits")
-    rows = sets.agg(F.sum(F.expr(f"n - {least} + 1"))).first()[0] or 0
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // ENTRIES_A_TASK))
-
-    def meet(entry: DataFrame, before: int) -> DataFrame:
-        """Pairs of entries of a block; before: bits they share before the one at pos."""
-        entry = entry.select("h", "n", "pos", "block").repartition(parts, "block")
+    sets = docs.filter("bits is not null").select(F.col("h1").alias("h"), "n", "rare", "bits", F.expr("f0 ^ f2").alias("s0"), F.expr("f1 ^ f3").alias("s1"))
+    rows = int(sets.agg(F.sum(F.expr(f"n - {least} + 1"))).first()[0] or 0)
+    rounds = max(1, min(ROUNDS, rows // ENTRIES_A_ROUND))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // (rounds * ENTRIES_A_TASK)))
+
+    def meet(entry: DataFrame, before: int, share: int) -> DataFrame:
+        """Pairs of entries of a block, of one share of the blocks; before: bits they share before the one at pos."""
+        entry = entry.filter(F.expr(f"pmod(block, {rounds}L) = {share}")).select("h", "n", "pos", "block", "s0", "s1").repartition(parts, "block")
         a, b = entry.alias("a"), entry.alias("b")
         return a.join(
             b,
             F.expr(
                 f"a.block = b.block and a.h < b.h and a.n * {den}L >= b.n * {num}L and b.n * {den}L >= a.n * {num}L"
                 f" and (least(a.n - a.pos, b.n - b.pos) + {before}) * {den + num}L >= (a.n + b.n) * {num}L"
+                f" and (bit_count(a.s0 ^ b.s0) + bit_count(a.s1 ^ b.s1)) * {den + num}L <= (a.n + b.n) * {den - num}L"
             ),
-        ).select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"), F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"))
+        ).select(F.col("a.h").alias("h_a"), F.col("b.h").alias("h_b"))
 
-    entry = sets.withColumn("prefix", F.expr(f"slice(bits, 1, cast(n - {least} + 1 as int))")).select("h", "n", "rare", F.posexplode("prefix").alias("pos", "block"))
+    entry = sets.withColumn("prefix", F.expr(f"slice(bits, 1, cast(n - {least} + 1 as int))")).select("h", "n", "rare", "s0", "s1", F.posexplode("prefix").alias("pos", "block"))
     met: DataFrame | None = None
     for shared in range(1, most_bits + 1):
         # Step 1 has shown already that the rare bits' blocks are not large.
@@ -260,26 +268,27 @@ def _candidates(docs: DataFrame, t: Fraction, block_rows: int, most_bits: int =
             outside = entry.filter(open_).join(large, "block", "left_anti").select(*entry.columns)
             # Sets so small that no more than these bits need be shared also meet by them.
             alone = entry.filter(f"not ({open_})").unionByName(outside).unionByName(inside.filter(f"{least} <= {shared}"))
-        # Written level by level, so that the disk holds the shuffle files of one at a time.
-        pairs = materialize(meet(alone, shared - 1).distinct(), "candidates")
-        met = pairs if met is None else met.unionByName(pairs)
+        # Written level by level and share by share, so that the disk holds the shuffle files of one at a time.
+        for share in range(rounds):
+            pairs = materialize(meet(alone, shared - 1, share).distinct(), "candidates")
+            met = pairs if met is None else met.unionByName(pairs)
         if not count:
             break
         further = F.expr(f"slice(bits, x.pos + 2, cast(n - {least} + {shared} as int) - x.pos)")
-        each = inside.select("h", F.struct("pos", "block").alias("x")).join(sets, "h").select("h", "n", "x", F.posexplode(further).alias("k", "y"))
-        entry = materialize(each.select("h", "n", F.expr("x.pos + 1 + k").alias("pos"), F.xxhash64("x.block", "y").alias("block")), "blocks")
+        each = inside.select("h", F.struct("pos", "block").alias("x")).join(sets, "h").select("h", "n", "s0", "s1", "x", F.posexplode(further).alias("k", "y"))
+        entry = materialize(each.select("h", "n", "s0", "s1", F.expr("x.pos + 1 + k").alias("pos"), F.xxhash64("x.block", "y").alias("block")), "blocks")
     return met
 
 
 def _close(docs: DataFrame, candidates: DataFrame, t: Fraction) -> DataFrame:
     """Candidates whose folded fingerprints are within the distance."""
     num, den = t.numerator, t.denominator
-    folded = docs.filter("bits is not null").select("h1", "f0", "f1", "f2", "f3").dropDuplicates(["h1"])
-    fa = folded.selectExpr("h1 as h_a", "f0 as a0", "f1 as a1", "f2 as a2", "f3 as a3")
-    fb = folded.selectExpr("h1 as h_b", "f0 as b0", "f1 as b1", "f2 as b2", "f3 as b3")
+    folded = docs.filter("bits is not null").select("h1", "n", "f0", "f1", "f2", "f3").dropDuplicates(["h1"])
+    fa = folded.selectExpr("h1 as h_a", "n as n_a", "f0 as a0", "f1 as a1", "f2 as a2", "f3 as a3")
+    fb = folded.selectExpr("h1 as h_b", "n as n_b", "f0 as b0", "f1 as b1", "f2 as b2", "f3 as b3")
     near = "+".join(f"bit_count(a{k} ^ b{k})" for k in range(4))
-    within = candidates.join(fa, "h_a").join(fb, "h_b").filter(f"({near}) * {den + num}L <= (n_a + n_b) * {den - num}L")
-    return materialize(within.select("h_a", "h_b", "n_a", "n_b").distinct(), "close")
+    within = candidates.distinct().join(fa, "h_a").join(fb, "h_b").filter(f"({near}) * {den + num}L <= (n_a + n_b) * {den - num}L")
+    return materialize(within.select("h_a", "h_b", "n_a", "n_b"), "close")
 
 
 def _exact(docs: DataFrame, close: DataFrame, t: Fraction) -> DataFrame:

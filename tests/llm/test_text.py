@@ -86,6 +86,23 @@ def test_only_equal_texts_are_linked_by_their_least_id(spark):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_candidates_follow_the_pairs_that_are_alike(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [" ".join(rng.choice(WORDS[:6]) for _ in range(40)) for _ in range(120)]
+    texts = base + [" ".join([*t.split()[:-1], "outro"]) for t in base[:30]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "text", "xxhash64(text) as raw").repartition(3)
+    levels = spark.sparkContext.broadcast(neardup.shingle_levels(df, 3, 12))
+    docs = neardup.materialize(neardup.fingerprints(df, levels, 3, 12), "fingerprints")
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in map(str.split, texts)]
+    alike = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 5 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b])}
+    ids = {r.h1: r.id for r in docs.select("h1", "id").collect()}
+    for entries in (neardup.ENTRIES_A_ROUND, 100):
+        monkeypatch.setattr(neardup, "ENTRIES_A_ROUND", entries)
+        met = neardup._candidates(docs, neardup.Fraction(3, 5), neardup.BLOCK_ROWS).select("h_a", "h_b").distinct().collect()
+        got = {tuple(sorted((ids[r.h_a], ids[r.h_b]))) for r in met}
+        assert len(alike) >= 30 and alike <= got and len(got) < 2 * len(alike)
+
+
 def test_near_duplicates_of_nothing(spark):
     found = neardup.near_duplicates(spark.createDataFrame([], "id long, texto string"), "id", "texto")
     assert found.expanded_pairs().count() == 0 and neardup.near_duplicate_groups(found).count() == 0
